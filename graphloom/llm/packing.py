@@ -110,7 +110,7 @@ class Packer:
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024, end: int = 0, windows: int = 24, item: int = 224, slack: float = 0.006) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024, end: int = 0, windows: int = 64, item: int = 128, slack: float = 0.008) -> DataFrame:
     """A row for each piece of each document of ``docs`` (doc_id, text)."""
     common.ship(docs.sparkSession)
     names = [s.split()[0] for s in SCHEMA.split(", ")]

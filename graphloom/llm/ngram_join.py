@@ -3,8 +3,9 @@
 Each text is a set of hashed shingles (``n`` consecutive lower-cased words; a text of fewer
 words is one shingle) embedded as ``POSITIONS`` min-hash tokens.  A run picks one token
 position; texts that share the token there fall into a bucket.  A bucket over ``leaf`` members
-is split again on further sampled positions, up to ``DEPTH`` levels, and what is then small is
-compared by brute force; a bucket that stays large is compared block against block.  Runs are
+is split again on further sampled positions, up to ``DEPTH`` levels, unless its members are so
+alike that splitting can't part them; what is then small or alike is compared by brute force, a
+large bucket block against block.  Runs are
 repeated until the chance that a pair at the threshold never meets is below ``1 - recall``.
 
 Equal sets collapse to one representative first.  Members that meet in several buckets are
@@ -33,6 +34,9 @@ from .common import U64
 POSITIONS = 128
 DEPTH = 3
 FANOUT = 2
+#: Members whose mean similarity makes a bucket one to compare rather than to split, and how
+#: many of a bucket's members (about) are looked at for that.
+ALIKE, LOOKED_AT = 0.5, 32
 _FACTORS = (np.random.default_rng(20240601).integers(0, 1 << 31, POSITIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
 _MASKS = np.random.default_rng(77).integers(0, 1 << 32, POSITIONS, dtype=np.uint32)
 
@@ -156,6 +160,17 @@ def _children(runs: int):
     return apply
 
 
+def _likeness(frames):
+    """Mean sketch similarity of the members at hand of each bucket."""
+    for table, ends in common.batches(frames, "key", 4096):
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint32).reshape(-1, POSITIONS)
+        means = []
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            i, j = np.triu_indices(min(b - a, 4 * LOOKED_AT), 1)
+            means.append(float((sketch[a + i] == sketch[a + j]).mean()) if len(i) else 0.0)
+        yield pa.RecordBatch.from_arrays([table.column("key").combine_chunks().take(pa.array(ends[:-1])), pa.array(means)], ["key", "alike"])
+
+
 def _owners(column: pa.Array, width: int) -> np.ndarray:
     """Rows x slots: the key of the leaf bucket that a row is in, else 0."""
     flat = column.flatten()
@@ -283,7 +298,7 @@ def _verify(width: int, threshold: float):
     return apply
 
 
-def ngram_jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, leaf: int = 256, recall: float = 1 - 1e-7) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, leaf: int = 256, recall: float = 1 - 1e-7, block: int = 2048) -> DataFrame:
     """(doc_id, class_id, n_links, kept) for every row of ``docs`` (doc_id, text).
 
     ``class_id`` is the smallest doc_id reachable over links, ``n_links`` the number of other rows
@@ -302,19 +317,23 @@ def ngram_jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, leaf
     for level in range(DEPTH):
         sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
         found = common.materialize(rows.join(sizes, "key"), "rows")
-        last = level == DEPTH - 1
-        small = found if last else found.where(F.col("size") <= leaf)
-        leaves = small if leaves is None else leaves.unionByName(small)
         large = found.where(F.col("size") > leaf)
-        if last or large.isEmpty():
+        if level == DEPTH - 1 or large.isEmpty():
+            leaves = found if leaves is None else leaves.unionByName(found)
             break
-        rows = large.join(reps.select("rid", "sketch"), "rid").select("rid", "slot", "sketch").mapInArrow(_children(runs), "rid long, slot int, key long")
+        looked_at = large.where(F.pmod(F.xxhash64("rid", "key"), F.ceil(F.col("size") / LOOKED_AT)) == 0).join(reps.select("rid", "sketch"), "rid")
+        alike = looked_at.select("key", "sketch").repartition("key").sortWithinPartitions("key").mapInArrow(_likeness, "key long, alike double")
+        alike = common.materialize(alike.where(F.col("alike") >= ALIKE), "alike").select("key")
+        settled = found.where(F.col("size") <= leaf).unionByName(large.join(alike, "key", "left_semi"))
+        leaves = settled if leaves is None else leaves.unionByName(settled)
+        split = large.join(alike, "key", "left_anti")
+        rows = split.join(reps.select("rid", "sketch"), "rid").select("rid", "slot", "sketch").mapInArrow(_children(runs), "rid long, slot int, key long")
 
     owned = leaves.groupBy("rid").agg(F.collect_list(F.struct(F.col("slot").cast("int").alias("slot"), "key", "size")).alias("leaf"))
     bits = reps.select("rid", "doc_id", "copies", "sketch").join(owned, "rid")
     spread = bits.select("rid", "doc_id", "copies", "sketch", F.transform("leaf", lambda x: F.struct(x.slot.alias("slot"), x.key.alias("key"))).alias("own"), F.inline("leaf"))
-    # A bucket that stays large is cut into blocks; every pair of blocks is a group of its own.
-    blocks = F.ceil(F.col("size") / leaf).cast("int")
+    # A large bucket is cut into blocks; every pair of blocks is a group of its own.
+    blocks = F.ceil(F.col("size") / block).cast("int")
     spread = spread.withColumn("blocks", blocks).withColumn("block", F.pmod(F.hash("rid"), F.col("blocks")))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cell = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))

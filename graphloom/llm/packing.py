@@ -119,7 +119,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024, en
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
 
     def apply(frames):
-        encoder = tokens.Encoder(tokenizer)
+        encoder = tokens.encoder(tokenizer)
         packer = Packer(TaskContext.get().partitionId() << 40, capacity, windows, item, slack)
         last, rows = np.array([end], "<u4"), []
         for frame, first, texts in tokens.batches(frames, 1):

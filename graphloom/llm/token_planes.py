@@ -108,7 +108,7 @@ class Segment:
 
 def _encode(path: str | None, end: int, mode: str):
     def apply(frames):
-        encoder, part, number = tokens.Encoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, number = tokens.encoder(path), TaskContext.get().partitionId(), 0
         names, counts, held, size = [], [], [], 0
 
         def flush():

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 import regex
@@ -29,14 +30,15 @@ def tokenizer_path(path: str | None) -> str:
 
 
 class Encoder:
-    """``ids(text)`` as little-endian bytes of ``dtype``."""
+    """Ids of texts as arrays of ``dtype``; at most ``memo`` words are remembered."""
 
-    def __init__(self, path: str | None = None, memo: int = 400_000):
+    def __init__(self, path: str | None = None, memo: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(path))
         self.dtype = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        self.code = "H" if self.dtype == "<u2" else "I"
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo, self.most = {}, memo
 
@@ -53,15 +55,27 @@ class Encoder:
             words = (_ASCII_WORDS if text.isascii() else _WORDS).findall(text) if text else []
             new.update(words)
             cut.append(words)
-        if len(self.memo) + len(new) > self.most:
-            self.memo.clear()
         new = [w for w in new if w not in self.memo]
         for a in range(0, len(new), 4096):
             some = new[a : a + 4096]
             for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.memo[word] = np.array(found.ids, self.dtype).tobytes()
+                self.memo[word] = array(self.code, found.ids).tobytes()
         known = self.memo.__getitem__
-        return [np.frombuffer(self._whole(w) if isinstance(w, str) else b"".join(map(known, w)), self.dtype) for w in cut]
+        out = [np.frombuffer(self._whole(w) if isinstance(w, str) else b"".join(map(known, w)), self.dtype) for w in cut]
+        if len(self.memo) > self.most:  # frequent words came early; what is new now is forgotten again
+            for word in new:
+                del self.memo[word]
+        return out
+
+
+_encoders: dict[str | None, Encoder] = {}
+
+
+def encoder(path: str | None = None) -> Encoder:
+    """The encoder of this process: a Python worker keeps it from task to task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def batches(frames, column: int, target: int = 1 << 20):

@@ -18,7 +18,19 @@ FILE = "byte_bpe_50k.json"
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _ENDINGS = r"'s|'t|'re|'ve|'m|'ll|'d"
 _WORDS = regex.compile(rf"{_ENDINGS}| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-_ASCII_WORDS = re.compile(rf"{_ENDINGS}| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+#: The same for texts of Latin-1 signs, with the classes written out: the plain ``re`` is faster.
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
+_LATIN_WORDS = re.compile(rf"{_ENDINGS}| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+
+
+def words_of(text: str) -> list[str]:
+    """The words that the byte-level pre-tokenizer cuts a text into."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _WORDS.findall(text)
+    return _LATIN_WORDS.findall(text)
+
 
 
 def tokenizer_path(path: str | None) -> str:
@@ -52,7 +64,7 @@ class Encoder:
             if text and any(s in text for s in self.specials):
                 cut.append(text)  # marks inside a text are the library's business
                 continue
-            words = (_ASCII_WORDS if text.isascii() else _WORDS).findall(text) if text else []
+            words = words_of(text) if text else []
             new.update(words)
             cut.append(words)
         new = [w for w in new if w not in self.memo]

@@ -1,0 +1,5 @@
+"""Structural search (Q10): the filter language over symbols."""
+
+from .search import structural_search as search
+
+__all__ = ["search"]

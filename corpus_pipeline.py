@@ -18,33 +18,33 @@ MIN_QUALITY, MIN_LANGUAGE = 0.3, 0.4
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
     model = quality_fm.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_fm.score(docs, model).where(F.col("score") >= MIN_QUALITY).select(*docs.columns)
+    return quality_fm.score(docs, model, "__score").where(F.col("__score") >= MIN_QUALITY).select(*docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: not ``und``, and not below the least probability."""
-    named = language_gru.label(docs, language_gru.train(docs))
-    return named.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE)).select(*docs.columns)
+    named = language_gru.label(docs, language_gru.train(docs), "__lang", "__score")
+    return named.where((F.col("__lang") != "und") & (F.col("__score") >= MIN_LANGUAGE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each class of near copies."""
-    kept = ngram_join.ngram_jaccard_join(docs).where("kept").select(F.col("doc_id").alias("of"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi").dropDuplicates(["doc_id"])
+    kept = ngram_join.ngram_jaccard_join(docs).where("kept").select(F.col("doc_id").alias("__of"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__of")), "left_semi").dropDuplicates(["doc_id"])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; what it takes in part is cut to those words."""
-    mixed = source_mix.mix(docs).where("taken > 0").select(F.col("doc_id").alias("of"), "size", "taken", "first_word", "part_words")
-    times = (F.col("taken") / F.col("size")).cast("long")
-    left = F.col("taken") % F.col("size")
-    copies = F.when(left > 0, F.concat(F.array_repeat(F.lit(False), times.cast("int")), F.array(F.lit(True)))).otherwise(F.array_repeat(F.lit(False), times.cast("int")))
-    rows = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("of"))).withColumn("cut", F.explode(copies))
+    mixed = source_mix.mix(docs).where("taken > 0").select(F.col("doc_id").alias("__of"), F.col("size").alias("__size"), F.col("taken").alias("__taken"), F.col("first_word").cast("int").alias("__first"), F.col("part_words").cast("int").alias("__words"))
+    times = (F.col("__taken") / F.col("__size")).cast("int")
+    whole = F.array_repeat(F.lit(False), times)
+    copies = F.when(F.col("__taken") % F.col("__size") > 0, F.concat(whole, F.array(F.lit(True)))).otherwise(whole)
+    rows = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("__of"))).withColumn("__cut", F.explode(copies))
     words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))
-    part = F.array_join(F.slice(F.concat(words, words), F.col("first_word").cast("int") + 1, F.col("part_words").cast("int")), " ")
-    rows = rows.withColumn("text", F.when(F.col("cut"), part).otherwise(F.col("text")))
+    part = F.array_join(F.slice(F.concat(words, words), F.col("__first") + 1, F.col("__words")), " ")
+    rows = rows.withColumn("text", F.when(F.col("__cut"), part).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        rows = rows.withColumn("n_chars", F.when(F.col("__cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)
 
 

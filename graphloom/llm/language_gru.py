@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -182,12 +183,12 @@ def train(docs: DataFrame, per_language: int = 400, windows: int = 3000, seed: i
     return fit(np.hstack(parts), np.concatenate(targets), languages)
 
 
-def label(docs: DataFrame, net: Network | None) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with ``lang_pred`` and ``score`` for every row."""
+def label(docs: DataFrame, net: Network | None, said: str = "lang_pred", sure: str = "score") -> DataFrame:
+    """``docs`` (doc_id, text, ...) with the language and its probability for every row."""
     common.ship(docs.sparkSession)
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    docs = docs.select(*names, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "__letters") + ", lang_pred string, score double"
+    names = [c for c in docs.columns if c not in (said, sure)]
+    docs = docs.select(*[f"`{c}`" for c in names], F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
+    shape = T.StructType([*docs.schema.fields[:-1], T.StructField(said, T.StringType()), T.StructField(sure, T.DoubleType())])
 
     def apply(frames):
         for frame in frames:
@@ -205,8 +206,8 @@ def label(docs: DataFrame, net: Network | None) -> DataFrame:
                 best[row : row + len(offsets) - 1] = sums.argmax(0)
                 top[row : row + len(offsets) - 1] = sums.max(0) / np.maximum(1, np.diff(offsets))
             on = lettered & (net is not None)
-            said = [net.languages[b] if o else "und" for b, o in zip(best.tolist(), on.tolist())]
-            yield pa.RecordBatch.from_arrays([*(frame.column(i) for i in range(len(names))), pa.array(said, pa.string()), pa.array(np.where(on, np.clip(top, 0, 1), 0.0))], [*names, "lang_pred", "score"])
+            language = [net.languages[b] if o else "und" for b, o in zip(best.tolist(), on.tolist())]
+            yield pa.RecordBatch.from_arrays([*(frame.column(i) for i in range(len(names))), pa.array(language, pa.string()), pa.array(np.where(on, np.clip(top, 0, 1), 0.0))], [*names, said, sure])
 
     return docs.mapInArrow(apply, shape)
 

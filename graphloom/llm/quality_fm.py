@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .common import U64
@@ -35,7 +36,7 @@ _NAMES = [*_KINDS, "symbol"]
 #: Weights of a byte in the character statistics.
 _TABLE = np.array([[b in _KINDS[k] for k in _KINDS] for b in range(256)], np.float32)
 _TABLE = np.hstack([_TABLE, 1 - _TABLE[:, :6].max(1, keepdims=True)])
-STATS = len(_NAMES) + 7
+STATS = len(_NAMES) + 8
 
 
 def features(column: pa.Array, lengths: np.ndarray | None = None):
@@ -60,6 +61,9 @@ def features(column: pa.Array, lengths: np.ndarray | None = None):
         square = np.bincount(owner, long.astype(float) ** 2, n)
         each = np.maximum(1, words)
         different = _distinct(hashes, owner, n)
+        again = np.zeros(len(hashes), bool)
+        again[1:] = (hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])
+        repeats = np.bincount(owner[again], minlength=n)
         # Lines: spans between line feeds, repeated ones by their hashes.
         is_line = np.arange(256) != 10
         begin, end, at = common.word_spans(data, offsets, is_line)
@@ -67,7 +71,7 @@ def features(column: pa.Array, lengths: np.ndarray | None = None):
         line_owner = np.repeat(np.arange(n), lines)
         distinct_lines = _distinct(common.span_hashes(data, begin, end), line_owner, n)
         stored = np.diff(offsets) if lengths is None else lengths[row : row + n]
-        rest = np.column_stack([total / each / 10, np.sqrt(np.maximum(0, square / each - (total / each) ** 2)) / 10, different / each, distinct_lines / np.maximum(1, lines), words / spaces, np.log1p(size) / 10, np.log1p(np.maximum(0, stored)) / 10])
+        rest = np.column_stack([total / each / 10, np.sqrt(np.maximum(0, square / each - (total / each) ** 2)) / 10, different / each, repeats / each, distinct_lines / np.maximum(1, lines), words / spaces, np.log1p(size) / 10, np.log1p(np.maximum(0, stored)) / 10])
         yield row, (hashes >> U64(49)).astype(np.uint16), firsts, np.hstack([shares, rest]).astype(np.float32)
 
 
@@ -106,8 +110,8 @@ class Machine:
         return self.bias + sums[:, 0] + 0.5 * ((sums[:, 1:] ** 2).sum(1) - squares)
 
 
-def fit(buckets: list[np.ndarray], stats: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 128, rate: float = 0.05, decay: float = 1e-4, seed: int = 11) -> Machine:
-    """Fit by mini-batch gradient descent with per-weight rates."""
+def fit(buckets: list[np.ndarray], stats: np.ndarray, y: np.ndarray, steps: int = 1000, batch: int = 128, rate: float = 0.05, decay: float = 1e-4, seed: int = 11) -> Machine:
+    """Fit by ``steps`` (or a little more, to whole epochs) mini-batch gradient steps with per-weight rates."""
     rng = np.random.default_rng(seed)
     weights = np.zeros((BUCKETS + STATS, RANK + 1), np.float32)
     weights[:, 1:] = rng.normal(0, 0.02, (len(weights), RANK))
@@ -116,7 +120,7 @@ def fit(buckets: list[np.ndarray], stats: np.ndarray, y: np.ndarray, epochs: int
     mean, scale = stats.mean(0), stats.std(0) + 1e-3
     model = Machine(float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))), weights, mean, scale)
     seen, bias_seen = np.full(weights.shape, 1e-2, np.float32), 1e-2
-    for _ in range(epochs):
+    for _ in range(-(-steps // -(-len(y) // batch))):
         order = rng.permutation(len(y))
         for a in range(0, len(y), batch):
             rows = order[a : a + batch]
@@ -159,8 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Machine:
     common.ship(docs.sparkSession)
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
     chosen = known.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    stored = "n_chars" if "n_chars" in docs.columns else F.lit(None)
-    rows = docs.select("doc_id", "text", F.lit(stored).cast("double") if not isinstance(stored, str) else F.col(stored).cast("double").alias("n_chars")).toDF("doc_id", "text", "n_chars")
+    rows = docs.select("doc_id", "text", _stored_length(docs).alias("n_chars"))
     picked = rows.join(F.broadcast(chosen), "doc_id")  # at most ``sample`` ids
 
     def apply(frames):
@@ -183,25 +186,27 @@ def _lengths(column: pa.Array, texts: pa.Array) -> np.ndarray:
     return pc.coalesce(column, pc.utf8_length(texts).cast(pa.float64())).fill_null(0).to_numpy(zero_copy_only=False)
 
 
-def score(docs: DataFrame, model: Machine) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with a ``score`` for every row."""
+def _stored_length(docs: DataFrame) -> Column:
+    return F.expr("try_cast(n_chars as double)") if "n_chars" in docs.columns else F.lit(None).cast("double")
+
+
+def score(docs: DataFrame, model: Machine, name: str = "score") -> DataFrame:
+    """``docs`` (doc_id, text, ...) with a score for every row, in a column ``name``."""
     common.ship(docs.sparkSession)
-    if "n_chars" not in docs.columns:
-        docs = docs.withColumn("n_chars", F.lit(None).cast("long"))
-    names = docs.columns
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "score") + ", score double"
+    kept = [c for c in docs.columns if c != name]
+    source = docs.select(*[f"`{c}`" for c in kept], _stored_length(docs).alias("__length"))
+    shape = T.StructType([*source.schema.fields[:-1], T.StructField(name, T.DoubleType())])
 
     def apply(frames):
-        text, stored = names.index("text"), names.index("n_chars")
+        text = kept.index("text")
         for frame in frames:
-            lengths = _lengths(frame.column(stored).cast(pa.float64()), frame.column(text))
+            lengths = _lengths(frame.column(len(kept)), frame.column(text))
             out = np.empty(frame.num_rows)
             for row, buckets, firsts, stats in features(frame.column(text), lengths):
                 out[row : row + len(firsts) - 1] = model.logits(buckets, firsts, stats)
-            kept = [i for i, c in enumerate(names) if c != "score"]
-            yield pa.RecordBatch.from_arrays([*(frame.column(i) for i in kept), pa.array(1 / (1 + np.exp(-np.clip(out, -40, 40))))], [*(names[i] for i in kept), "score"])
+            yield pa.RecordBatch.from_arrays([*(frame.column(i) for i in range(len(kept))), pa.array(1 / (1 + np.exp(-np.clip(out, -40, 40))))], [*kept, name])
 
-    return docs.mapInArrow(apply, shape)
+    return source.mapInArrow(apply, shape)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 8000) -> DataFrame:

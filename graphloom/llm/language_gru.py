@@ -154,6 +154,7 @@ def train(docs: DataFrame, per_language: int = 400, windows: int = 3000, seed: i
     rows = docs.where("lang is not null and doc_id is not null").where(~held_out()).select("doc_id", "lang", "text")
     counts = rows.groupBy("lang").count()
     rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    # A row for each language: as many as the network has outputs, so small enough to broadcast.
     chosen = rows.join(F.broadcast(counts), "lang").where(rank < per_language / F.col("count")).select("lang", "doc_id", "text")
 
     def some(frames):

@@ -33,7 +33,7 @@ def _rows(frame) -> list[dict]:
     return [{k: v for k, v in r.asDict(recursive=True).items() if v is not None} for r in frame.collect()]
 
 
-def call(graph: CodeGraph, root: str, tool: str, given: dict) -> dict:
+def call(graph: CodeGraph, root: str, tool: str, given: dict, store: str | None = None) -> dict:
     """Run a tool; the result is ready for JSON."""
     if tool not in TOOLS:
         raise UnknownTool(tool)
@@ -41,6 +41,8 @@ def call(graph: CodeGraph, root: str, tool: str, given: dict) -> dict:
     if missing:
         raise MissingArgument(", ".join(missing))
     most = given.get("max_tokens", DEFAULT_BUDGET)
+    if tool == "status" and store:
+        return {"kind": tool, **_rows(graph.status(graph.symbols.sparkSession, root, store))[0]}
     if tool in ("index", "status"):
         return {"kind": tool, "files": graph.symbols.select("file").distinct().count(), "symbols": graph.symbols.count(), "edges": graph.edges.count()}
     if tool == "repo_summary":
@@ -112,6 +114,9 @@ def main(arguments: list[str] | None = None) -> int:
     given = parser.parse_args(arguments)
     logging.basicConfig(stream=sys.stderr, level=logging.DEBUG if given.verbose else logging.WARNING)
     spark = SparkSession.builder.appName("graphloom").getOrCreate()
+    if given.verb == "status" and given.store:  # told before anything is brought up to date
+        print(json.dumps(_rows(CodeGraph.status(spark, given.path, given.store))[0]))
+        return 0
     graph = CodeGraph.build(spark, given.path, given.store)
     if given.verb == "serve":
         serve(graph, given.path)

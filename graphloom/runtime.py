@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _shipped: set[str] = set()
 
@@ -44,3 +44,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize_observed(df: DataFrame, label: str, **sums: Column) -> tuple[DataFrame, dict]:
+    """As ``materialize``, with one-row aggregates of what is written, taken during the write itself.
+
+    The metrics sit in the write's own (result) tasks, whose updates count once however often
+    a task is tried, so a round needs no second job to learn whether it was the last.
+    """
+    seen = Observation()
+    stored = materialize(df.observe(seen, *[c.alias(name) for name, c in sums.items()]), label)
+    return stored, seen.get

@@ -8,6 +8,7 @@ import logging
 import sys
 
 from .graph import CodeGraph
+from .operators import targets
 from .schemas import DEFAULT_BUDGET, DEFAULT_DEPTH
 from .sources import files
 
@@ -20,6 +21,10 @@ TOOLS = {
 }
 
 
+#: Columns that budgets work with; results leave them out.
+_WORKING = ("cost", "rn", "used", "more")
+
+
 class UnknownTool(ValueError):
     pass
 
@@ -33,6 +38,14 @@ def _rows(frame) -> list[dict]:
     return [{k: v for k, v in r.asDict(recursive=True).items() if v is not None} for r in frame.collect()]
 
 
+def _kept(rows: list[dict]) -> dict:
+    """A4: the rows, how many, and whether the budget cut any (told only by prefix budgets)."""
+    out = {"count": len(rows)}
+    if rows and "more" in rows[0]:
+        out["truncated"] = max(rows, key=lambda r: r["rn"])["more"]
+    return out | {"results": [{k: v for k, v in r.items() if k not in _WORKING} for r in rows]}
+
+
 def call(graph: CodeGraph, root: str, tool: str, given: dict, store: str | None = None) -> dict:
     """Run a tool; the result is ready for JSON."""
     if tool not in TOOLS:
@@ -56,10 +69,15 @@ def call(graph: CodeGraph, root: str, tool: str, given: dict, store: str | None
     elif tool == "repo_map":
         rows = _rows(graph.repo_map(given.get("focus"), most))
     elif tool == "dependency_graph":
-        return {"kind": tool, "results": _rows(graph.dependency_graph(most)), "cycles": _rows(graph.cycles())}
+        return {"kind": tool, **_kept(_rows(graph.dependency_graph(most))), "cycles": _rows(graph.cycles())}
     else:
         rows = _rows(getattr(graph, tool)(given.get("name", given.get("query")), most))
-    return {"kind": tool, "count": len(rows), "results": rows}
+    out = {"kind": tool, **_kept(rows)}
+    if "name" in given:
+        out["query"] = given["name"]
+        if not rows:
+            out["suggestions"] = [r["name"] for r in targets.suggest(graph.symbols, given["name"]).collect()]  # five at most
+    return out
 
 
 def answer(graph: CodeGraph, root: str, request: dict) -> dict | None:

@@ -2,7 +2,11 @@
 
 Trees are fitted in the driver on at most ``sample`` vectors (a fixed bound): a node projects on
 a random direction and cuts at the median, and vectors within ``spill`` of it, by rank, go to
-both sides.  Every vector is then indexed in every tree.  Within a leaf all pairs are compared
+both sides.  Where links are among the members looked at, it takes of several directions and cuts
+the one that parts the fewest; a node whose members are mostly within the threshold isn't split.
+The links that some vectors have in the sample are then looked up in the forest, and while the
+leaves hold less than ``recall`` of them it is fitted again with leaves four times as large, up
+to a single one.  Every vector is then indexed in every tree.  Within a leaf all pairs are compared
 by cosine in double precision; a leaf over ``block`` vectors is compared block against block, so
 what the sample did not foresee costs more tasks but loses nothing.
 
@@ -25,17 +29,46 @@ from pyspark.sql import functions as F
 from . import common, vectors
 
 
-def fit_tree(x: np.ndarray, leaf: int, spill: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Share of linked pairs that makes a node one to compare rather than to split, how many of its
+#: members are looked at for that, and the directions and cuts tried where links are at stake.
+ALIKE, LOOKED_AT, TRIES, CUTS = 0.5, 256, 12, (0.5, 0.35, 0.65, 0.2, 0.8)
+
+
+def _cut(x: np.ndarray, rows: np.ndarray, spill: float, threshold: float, rng: np.random.Generator) -> tuple[np.ndarray, float] | None:
+    """Direction and rank of the cut of a node, or nothing if its members are alike."""
+    seen = x[rows if len(rows) <= LOOKED_AT else rng.choice(rows, LOOKED_AT, replace=False)]
+    ways = rng.standard_normal((TRIES, x.shape[1]))
+    i, j = np.nonzero(np.triu(seen @ seen.T >= threshold, 1))
+    if not len(i):
+        return ways[0], CUTS[0]
+    if len(i) >= ALIKE * len(seen) * (len(seen) - 1) / 2:
+        return None
+    best = None
+    for way in ways:
+        at = seen @ way
+        low, high = np.minimum(at[i], at[j]), np.maximum(at[i], at[j])
+        for cut in CUTS:
+            a, b = np.quantile(at, (cut - spill, cut + spill)) if spill < min(cut, 1 - cut) else (at.min(), at.max())
+            parted = int(((low < a) & (high > b)).sum())
+            if best is None or parted < best[0]:
+                best = parted, way, cut
+        if not best[0]:
+            break
+    return best[1:]
+
+
+def fit_tree(x: np.ndarray, leaf: int, spill: float, rng: np.random.Generator, threshold: float = 0.9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Directions, (low, high) cuts and children of inner nodes; a child below 0 is leaf ``-1 - child``."""
     directions, cuts, children, leaves = [], [], [], 0
     work = [(np.arange(len(x)), None, 0)]
     while work:
         rows, parent, side = work.pop()
         name = None
-        if len(rows) > leaf:
-            way = rng.standard_normal(x.shape[1])
+        split = _cut(x, rows, spill, threshold, rng) if len(rows) > leaf else None
+        if split:
+            way, cut = split
             at = x[rows] @ way
-            low, high = np.quantile(at, (0.5 - spill, 0.5 + spill))
+            low, high = np.quantile(at, (max(0.0, cut - spill), min(1.0, cut + spill)))
             left, right = rows[at <= high], rows[at >= low]
             if max(len(left), len(right)) < len(rows):
                 name = len(directions)
@@ -69,6 +102,40 @@ def leaves_of(x: np.ndarray, tree: tuple[np.ndarray, np.ndarray, np.ndarray]) ->
     return np.concatenate(rows), np.concatenate(found)
 
 
+def share_met(x: np.ndarray, forest, threshold: float, rng: np.random.Generator, some: int = 512) -> tuple[int, int]:
+    """How many of the links that ``some`` vectors have in ``x`` lie within leaves, and all of them."""
+    some = rng.choice(len(x), min(some, len(x)), replace=False)
+    held = []
+    for tree in forest:
+        rows, leaf = leaves_of(x, tree)
+        order = np.argsort(leaf, kind="stable")
+        held.append((rows[order], np.searchsorted(leaf[order], np.arange(leaf.max() + 2))))
+    found = total = 0
+    for a in range(0, len(some), 64):
+        mine = some[a : a + 64]
+        near = x[mine] @ x.T >= threshold
+        near[np.arange(len(mine)), mine] = False
+        met = np.zeros_like(near)
+        for tree, (rows, ends) in zip(forest, held):
+            for r, leaf in zip(*(v.tolist() for v in leaves_of(x[mine], tree))):
+                met[r, rows[ends[leaf] : ends[leaf + 1]]] = True
+        found, total = found + int((near & met).sum()), total + int(near.sum())
+    return found, total
+
+
+def fit_forest(x: np.ndarray, trees: int, leaf: int, spill: float, threshold: float, recall: float, seed: int) -> list:
+    """Trees whose leaves hold at least ``recall`` of the links looked up (three are taken for chance)."""
+    while True:
+        rng = np.random.default_rng(seed)
+        forest = [fit_tree(x, leaf, spill, rng, threshold) for _ in range(trees)]
+        if leaf >= len(x):
+            return forest
+        found, total = share_met(x, forest, threshold, rng)
+        if total - found <= (1 - recall) * total + 3:
+            return forest
+        leaf *= 4
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)  # squares of very large or small components stay finite
@@ -110,6 +177,18 @@ def _earlier(own: list[np.ndarray], leaf: int) -> np.ndarray:
     return held @ held.T > 0
 
 
+def _roots(near: np.ndarray) -> np.ndarray:
+    """Smallest index reachable from each row; rows are read once, so no list of pairs is built."""
+    root = np.full(len(near), -1)
+    for i in range(len(near)):
+        if root[i] < 0:
+            root[i], front = i, np.array([i])
+            while len(front):
+                front = np.flatnonzero(near[front].any(0) & (root < 0))
+                root[front] = i
+    return root
+
+
 def _compare(dim: int, kind: str, threshold: float):
     def apply(frames):
         for table, ends in common.batches(frames, "cell", 4096):
@@ -129,8 +208,7 @@ def _compare(dim: int, kind: str, threshold: float):
                 hot = np.flatnonzero(near.any(1))
                 near = near[np.ix_(hot, hot)] & ~_earlier([flat[at[a + h] : at[a + h + 1]] for h in hot.tolist()], int(leaf[a]))
                 links = near @ copies[a + hot]
-                i, j = np.nonzero(np.triu(near))
-                root = common.local_roots(len(hot), i, j)
+                root = _roots(near)
                 on = links > 0
                 if on.any():
                     yield pa.RecordBatch.from_arrays([pa.array(rid[a + hot][on]), pa.array(links[on].astype(np.int64)), pa.array(rid[a + hot[root]][on])], ["rid", "links", "root"])
@@ -138,7 +216,7 @@ def _compare(dim: int, kind: str, threshold: float):
     return apply
 
 
-def embedding_near_duplicates(frame: DataFrame, threshold: float = 0.9, trees: int = 12, leaf: int = 256, spill: float = 0.05, sample: int = 65_536, block: int = 2048, seed: int = 3) -> DataFrame:
+def embedding_near_duplicates(frame: DataFrame, threshold: float = 0.9, trees: int = 12, leaf: int = 256, spill: float = 0.05, sample: int = 65_536, block: int = 2048, seed: int = 3, recall: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``frame`` (vec_id, embedding)."""
     common.ship(frame.sparkSession)
     kind, dim = vectors.element_type(frame), vectors.dimension(frame)
@@ -149,9 +227,8 @@ def embedding_near_duplicates(frame: DataFrame, threshold: float = 0.9, trees: i
     drawn = reps.where(F.pmod(F.xxhash64("rid"), F.lit(1 << 30)) < int(part * (1 << 30))).select("vec").limit(sample).toArrow()
     x = unit(vectors.matrix(drawn.column(0), dim, kind)) if len(drawn) else np.zeros((0, max(dim, 1)))
     x = x[np.lexsort(x.T)]  # the fit doesn't depend on the order of arrival
-    rng = np.random.default_rng(seed)
     small = max(8, math.floor(leaf * len(x) / max(1, total)))
-    forest = [fit_tree(x, small, spill, rng) for _ in range(trees)]
+    forest = fit_forest(x, trees, small, spill, threshold, recall, seed)
 
     placed = reps.select("rid", "copies", "vec").mapInArrow(_assign(forest, dim, kind), "rid long, copies long, vec binary, own array<int>, leaf int")
     # At most trees x sample rows, whatever the input: small enough to broadcast.

@@ -103,6 +103,21 @@ def test_forest_equals_brute_force(spark):
     assert out.component_id[[5, 6, 7]].nunique() == 1
 
 
+def test_forest_keeps_the_links_of_a_large_cluster(spark):
+    """A third of all vectors in one cluster, at cosines of about 0.95 and about 0.9."""
+    rng = np.random.default_rng(8)
+    for noise in (0.05, 0.1):
+        x = rng.normal(size=(3000, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x[:1000] = x[0] + np.sqrt(noise / (1 - noise)) * x[:1000]
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        near = u @ u.T >= 0.9
+        frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = rp_forest.embedding_near_duplicates(frame, leaf=32, block=200).toPandas().sort_values("vec_id").n_links.to_numpy()
+        want = near.sum(1) - 1
+        assert (got <= want).all() and got.sum() >= 0.97 * want.sum()
+
+
 def test_ball_tree_equals_brute_force(spark):
     x = np.floor(256 * clustered(700).astype(float))
     rows = [(i, (v / 256).tolist(), 0, 1, 2) for i, v in enumerate(x)] + [(1000, None, 0, 1, 2), (1050, [float("inf")] * 16, 0, 1, 2), (700, (x[3] / 256).tolist(), 0, 1, 2), (700, (x[3] / 256).tolist(), 0, 1, 2)]

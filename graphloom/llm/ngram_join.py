@@ -1,7 +1,7 @@
 """Operator 1: similarity self-join on word n-grams by a chosen-path recursion.
 
-Each text is a set of hashed shingles (``n`` consecutive lower-cased words; a text of fewer
-words is one shingle) embedded as ``POSITIONS`` min-hash tokens.  A run picks one token
+Each text is a set of hashed shingles (``n`` consecutive words, lower-cased letter by letter in
+all scripts; a text of fewer words is one shingle) embedded as ``POSITIONS`` min-hash tokens.  A run picks one token
 position; texts that share the token there fall into a bucket.  A bucket over ``leaf`` members
 is split again on further sampled positions, up to ``DEPTH`` levels, unless its members are so
 alike that splitting can't part them; what is then small or alike is compared by brute force, a
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,10 +64,23 @@ def slot_tree(runs: int, seed: int = 5) -> tuple[list[tuple[int, ...]], dict[int
     return slots, children
 
 
+def lowered(column: pa.Array) -> pa.Array:
+    """Texts with every letter in lower case, each by itself (no final sigma, one letter for one)."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = column.cast(pa.large_string())
+    try:
+        return pc.utf8_lower(column)
+    except pa.ArrowInvalid:  # bytes that are no UTF-8: they stay, the letters around them are lowered
+        texts = [None if t is None else t.decode("utf-8", "surrogateescape") for t in column.cast(pa.large_binary()).to_pylist()]
+        out = [None if t is None else "".join(c.lower()[0] for c in t).encode("utf-8", "surrogateescape") for t in texts]
+        return pa.array(out, pa.large_binary()).view(pa.large_string())
+
+
 def shingle_sets(column: pa.Array, n: int) -> Iterator[list[np.ndarray]]:
     """Sorted distinct shingle hashes of each text, in runs of texts."""
     odd = [common.mix64(np.array([i + 1], U64))[0] | U64(1) for i in range(n)]
-    for _, data, offsets in common.text_slices(column):
+    for _, data, offsets in common.text_slices(lowered(column)):
         starts, stops, firsts = common.word_spans(data, offsets)
         words = common.span_hashes(data, starts, stops)
         whole = np.zeros(max(0, len(words) - n + 1), U64)

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import json
 import random
+import re
 import zlib
 
 import duckdb
@@ -66,6 +67,30 @@ def test_ngram_join_equals_brute_force(spark):
     assert (out.kept == (out.doc_id == out.class_id)).all()
 
 
+def plain_shingles(text, n=5):
+    """Shingles by the definition, without the operator's own code."""
+    words = re.findall(r"(?:[0-9a-z]|[^\x00-\x7f])+", "".join(c.lower()[0] for c in text or ""))
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if len(words) >= n else {tuple(words)} - {()}
+
+
+def test_ngram_join_takes_no_notice_of_case(spark):
+    rng = random.Random(11)
+    words = [f"{a}{b}" for a in ("wort", "été", "живой", "über", "x1") for b in ("", "än", "ñu", "я", "k", "zed")]
+    texts = [" ".join(rng.choices(words, k=60)) for _ in range(30)]
+    texts += [t.upper() for t in texts[:10]] + [t.title() for t in texts[5:15]] + [" ".join(w.upper() if i > 50 else w for i, w in enumerate(t.split())) for t in texts[12:20]] + ["ABC def", "abc DEF", "", None, *ODD[4:6]]
+    sets = [plain_shingles(t) for t in texts]
+    links = [sum(i != j and bool(a) and 5 * len(a & b) >= 4 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    out = ngram_join.ngram_jaccard_join(docs_of(spark, texts)).toPandas().sort_values("doc_id")
+    assert out.n_links.tolist() == links and sum(links) > 50
+
+
+def test_lower_case_of_broken_text():
+    raw = pa.array(["ÀB".encode() + b"\xff" + "ŞİЖ".encode(), "ÀBŞİЖ".encode(), None], pa.binary()).cast(pa.large_binary()).view(pa.large_string())
+    got = ngram_join.lowered(raw).view(pa.large_binary()).to_pylist()
+    assert got == ["àb".encode() + b"\xff" + "şiж".encode(), "àbşiж".encode(), None]
+    assert ngram_join.lowered(raw.slice(1)).to_pylist() == ["àbşiж", None]
+
+
 def test_ngram_join_whole_table(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     texts = docs.orderBy("doc_id").toPandas().text.tolist()

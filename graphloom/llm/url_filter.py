@@ -4,9 +4,13 @@ Rules come first: the longest rule (host and path together) that fits decides.
 judged by a multinomial naive Bayes over the words of host and path, where names written
 together are split by a Viterbi search over unigram word probabilities.
 
-Both models are trained here, from ``EXAMPLES``: URLs in words, marked block or allow.  Words that
-the examples lack keep their place in the segmentation (a run of unknown letters is one unknown
-word) but say nothing about the class; a URL without a known word is allowed.
+Unigrams are counted over host and path tokens of all pages, to which ``EXAMPLES`` are added: URLs in
+words, marked block or allow.  A token that more frequent words make up is no word of its own, and
+the table holds the ``vocabulary`` most frequent tokens of at most ``LONGEST`` letters, since every
+worker has it.  Other letters keep their place in the segmentation (a run of them is one unknown word).
+There are no labels, so only the words of ``EXAMPLES`` tell the class; a URL without one is allowed.
+Subdomain labels (``SUBDOMAINS``) before the domain say what serves a page, not what it is about, and
+are left out of the odds.
 
 Defined results: a null URL and one without ``://`` have an empty host and path, no rule and the
 verdict allow.
@@ -37,6 +41,10 @@ EXAMPLES = {
         free crack download | warez serial keygen | torrent crack full | keygen crack free | pirate movie torrent
         payday loan fast cash | easy credit loan | get rich quick money | earn money fast | crypto double money
         win free prize | claim prize winner | lottery winner cash | free gift card win | spam offer click
+        ads track click | ad tracker banner | tracking pixel beacon | popup ads adserver | doubleclick adclick ads
+        adult dating cam | adult sex shop | escort adult chat | erotic adult nude | gambling bets roulette
+        free bets bookie | blackjack roulette jackpot | spam farm links | link farm seo | malware virus exploit
+        phishing scam login | fake replica watches | cheap replica bags | spyware trojan botnet | viagra cialis cheap
     """,
     "allow": """
         city news today | world news daily | local weather report | national health service | science journal articles
@@ -50,6 +58,20 @@ EXAMPLES = {
 }
 
 
+#: Labels before a domain that name a service.
+SUBDOMAINS = frozenset("www m blog mobile amp web wap cdn static img images media api app shop store news mail en de fr es".split())
+#: Letters of the longest word, and those of the shortest part of a made-up token.
+LONGEST, SHORTEST = 24, 3
+
+
+def _made_up(token: str, n: int, words: dict[str, int]) -> bool:
+    """Whether words at least as frequent, of ``SHORTEST`` letters or more, make up the token."""
+    whole = [True] + [False] * len(token)
+    for i in range(SHORTEST, len(token) + 1):
+        whole[i] = any(whole[j] and words.get(token[j:i], 0) >= n for j in range(i - SHORTEST + 1))
+    return whole[-1]
+
+
 def _rows(text: str) -> list[list[str]]:
     return [part.split() for line in text.splitlines() for part in line.split("|") if part.strip()]
 
@@ -57,11 +79,16 @@ def _rows(text: str) -> list[list[str]]:
 class UrlModel:
     """Unigram word probabilities and class probabilities of words."""
 
-    def __init__(self, examples: dict[str, str] = EXAMPLES):
+    def __init__(self, examples: dict[str, str] = EXAMPLES, counts: dict[str, int] | None = None):
         rows = {c: _rows(t) for c, t in examples.items()}
         words = {c: Counter(w for r in rs for w in r) for c, rs in rows.items()}
-        unigrams = sum(words.values(), Counter())
-        total, distinct = sum(unigrams.values()), len(unigrams)
+        seeds = sum(words.values(), Counter())
+        distinct = len(seeds)
+        unigrams = dict(seeds)
+        for w, n in sorted((counts or {}).items(), key=lambda x: (len(x[0]), x[0])):
+            if w in seeds or (len(w) <= LONGEST and not _made_up(w, n, unigrams)):
+                unigrams[w] = unigrams.get(w, 0) + n
+        total = sum(unigrams.values())
         self.cost = {w: math.log(n / total) for w, n in unigrams.items()}
         self.unknown = -math.log(total)  # and a price for each letter of an unknown word
         self.letter = -math.log(12.0)
@@ -69,7 +96,7 @@ class UrlModel:
         docs = sum(map(len, rows.values()))
         self.prior = math.log(len(rows["block"]) / docs) - math.log(len(rows["allow"]) / docs)
         size = {c: sum(w.values()) for c, w in words.items()}
-        self.odds = {w: math.log((words["block"][w] + 1) / (size["block"] + distinct)) - math.log((words["allow"][w] + 1) / (size["allow"] + distinct)) for w in unigrams}
+        self.odds = {w: math.log((words["block"][w] + 1) / (size["block"] + distinct)) - math.log((words["allow"][w] + 1) / (size["allow"] + distinct)) for w in seeds}
         self._memo: dict[str, tuple[str, ...]] = {}
 
     def segment(self, name: str) -> tuple[str, ...]:
@@ -108,7 +135,10 @@ class UrlModel:
 
     def log_odds(self, host: str, path: str) -> float:
         """Log odds of block over allow; without a known word, a clear allow."""
-        known = [self.odds[w] for w in self.words(host, path) if w in self.odds]
+        labels = host.split(".")
+        while len(labels) > 2 and labels[0] in SUBDOMAINS:
+            labels = labels[1:]
+        known = [self.odds[w] for w in self.words(".".join(labels), path) if w in self.odds]
         return self.prior + sum(known) if known else -math.inf
 
 
@@ -130,11 +160,18 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def judge(pages: DataFrame, rules=RULES) -> DataFrame:
+def token_counts(cut: DataFrame, vocabulary: int) -> dict[str, int]:
+    """Counts of the ``vocabulary`` most frequent letter runs of (host, path), over all rows."""
+    tokens = cut.select(F.explode(F.regexp_extract_all(F.lower(F.concat_ws(" ", "host", "path")), F.lit("([a-z]+)"))).alias("token"))
+    counts = tokens.where(F.length("token") <= LONGEST).groupBy("token").count().orderBy(F.desc("count"), "token").limit(vocabulary)
+    return {r["token"]: r["count"] for r in counts.toLocalIterator()}
+
+
+def judge(pages: DataFrame, rules=RULES, vocabulary: int = 100_000) -> DataFrame:
     """(page_id, host, path, rule, verdict, block_log_odds) of every row of ``pages`` (page_id, url)."""
     common.ship(pages.sparkSession)
-    model = UrlModel()
     cut = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    model = UrlModel(counts=token_counts(cut, vocabulary))
     ruled = cut.withColumn("by_rule", rule_of(F.col("host"), F.col("path"), rules))
 
     @F.pandas_udf("double")

@@ -249,6 +249,17 @@ def test_url_rules_equal_brute_force(spark):
     assert out.verdict.tolist()[14:16] == ["block", "allow"]
 
 
+def test_url_words_come_from_pages_and_classes_from_more_than_subdomains(spark):
+    urls = ["https://m.ads-track.example.com/fr/1", "https://blog.adult-x.example.net/fr/2", "https://www.qorvani.example.io/x", "https://zelt.example.io/qorvani/zelt", "https://qorvanizelt.example.io/", "https://blog.qorvani.example.io/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert [r["verdict"] for r in url_filter.judge(pages).orderBy("page_id").collect()] == ["block", "block"] + ["allow"] * 4
+    cut = pages.select(url_filter.host_of(pages.url).alias("host"), url_filter.path_of(pages.url).alias("path"))
+    counts = url_filter.token_counts(cut, 1000)
+    assert (counts["example"], counts["qorvani"], counts["zelt"], counts["qorvanizelt"]) == (6, 3, 2, 1)
+    assert url_filter.UrlModel(counts=counts).segment("qorvanizelt") == ("qorvani", "zelt")
+    assert url_filter.UrlModel(counts=counts).segment("zeltcasino") == ("zelt", "casino")
+
+
 def test_segmentation_equals_exhaustive_search():
     model = url_filter.UrlModel()
 

@@ -438,3 +438,21 @@ def test_pipeline_stage_by_stage(spark):
     assert (size(ids[4]) <= 2 * size(ids[3]).reindex(size(ids[4]).index)).all()
     run = cp.run(spark, SMALL).toPandas()
     assert run.groupby("sequence_id").length.sum().max() <= 1024
+
+
+def test_pipeline_keeps_texts_whose_ids_are_null_or_repeated(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(500)]
+    texts = [" ".join(rng.choices(words, k=80)) for _ in range(12)]
+    near = " ".join([*texts[0].split()[:-1], "other"])
+    rows = [(None, t) for t in texts[:5]] + [(7, t) for t in texts[5:9]] + [(8, texts[9]), (9, texts[10]), (9, texts[10]), (10, texts[11]), (11, near), (12, texts[6]), (None, texts[9])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = cp.near_duplicates(spark, docs, SMALL).cache()
+    want = [(11, near)] + [(None, t) for t in texts[1:5]] + [(7, t) for t in texts[5:9]] + [(8, texts[9]), (9, texts[10]), (10, texts[11])]
+    assert kept.columns == docs.columns
+    assert sorted(map(repr, want)) == sorted(repr((r["doc_id"], r["text"])) for r in kept.collect())
+    mixed = cp.mixing(spark, kept, SMALL).toPandas()
+    taken = mixed.text.str.split().str.len().sum()
+    assert abs(taken - 1.5 * 80 * len(want)) <= 16

@@ -3,8 +3,11 @@
 Two gated recurrent units of ``HIDDEN`` cells read windows of ``WINDOW`` bytes forwards and
 backwards; every position gets language probabilities from both states, and a text's
 probabilities are the mean over all its positions.  Whole texts are read, in windows that start
-afresh.  Training is backpropagation through time in numpy, on windows of at most
-``per_language`` texts of each language, chosen by a hash of the id.
+afresh.  Training is backpropagation through time in numpy, in the driver, and so on a sample of a
+fixed size: about ``per_language`` texts of each language, chosen by a hash of the id, up to
+``per_text`` windows spread over each, and of those ``windows`` in all, the same for each language
+(drawn with repetition where there are fewer).  A window that a text doesn't fill teaches by the
+bytes it has, so that short texts teach too.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; rows with a null
 ``lang`` teach nothing; without any training row every text is ``und``.
@@ -92,8 +95,9 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.where(valid, SEEN[data[np.minimum(at, len(data) - 1)]], 32).astype(np.uint8), valid.astype(np.float32), owner
 
 
-def fit(windows: np.ndarray, targets: np.ndarray, languages: list[str], epochs: int = 12, batch: int = 256, rate: float = 0.01, seed: int = 7) -> Network:
-    """Backpropagation through time with Adam; the loss is the mean cross-entropy of positions."""
+def fit(windows: np.ndarray, targets: np.ndarray, languages: list[str], epochs: int = 12, batch: int = 256, rate: float = 0.01, seed: int = 7, valid: np.ndarray | None = None) -> Network:
+    """Backpropagation through time with Adam; the loss is the mean cross-entropy of valid positions."""
+    valid = np.ones(windows.shape, np.float32) if valid is None else valid
     rng = np.random.default_rng(seed)
     k, m, steps = HIDDEN, len(languages), windows.shape[0]
     p = [rng.normal(0, 0.3, (3 * k, 256)), rng.normal(0, 0.3, (3 * k, 256)), rng.normal(0, 0.3, (3 * k, k)), rng.normal(0, 0.3, (3 * k, k)), rng.normal(0, 0.3, (m, k)), rng.normal(0, 0.3, (m, k)), np.zeros((m, 1))]
@@ -105,16 +109,17 @@ def fit(windows: np.ndarray, targets: np.ndarray, languages: list[str], epochs:
         order = rng.permutation(n)
         for a in range(0, n, batch):
             rows = order[a : a + batch]
-            x, wanted = windows[:, rows], np.eye(m, dtype=np.float32)[targets[rows]].T
+            x, on, wanted = windows[:, rows], valid[:, rows], np.eye(m, dtype=np.float32)[targets[rows]].T
             trace = [[], []]
             for d, times in ((0, range(steps)), (1, range(steps - 1, -1, -1))):
                 h = np.zeros((k, len(rows)), np.float32)
                 for t in times:
                     before = h
                     h, gates, new, drive = _step(p[d].take(x[t], axis=1), p[2 + d], h)
+                    h = h * on[t]  # as in use: the backward state starts at the last byte
                     trace[d].append((t, before, gates, new, drive, h))
             states = [{s[0]: s[5] for s in trace[d]} for d in (0, 1)]
-            wrong = {t: (_softmax(p[4] @ states[0][t] + p[5] @ states[1][t] + p[6]) - wanted) / (steps * len(rows)) for t in range(steps)}
+            wrong = {t: (_softmax(p[4] @ states[0][t] + p[5] @ states[1][t] + p[6]) - wanted) * (on[t] / on.sum()) for t in range(steps)}
             g = [np.zeros_like(v) for v in p]
             for t in range(steps):
                 g[4] += wrong[t] @ states[0][t].T
@@ -123,7 +128,7 @@ def fit(windows: np.ndarray, targets: np.ndarray, languages: list[str], epochs:
             for d in (0, 1):
                 back = np.zeros((k, len(rows)), np.float32)
                 for t, before, gates, new, drive, _ in reversed(trace[d]):
-                    back = back + p[4 + d].T @ wrong[t]
+                    back = (back + p[4 + d].T @ wrong[t]) * on[t]
                     keep, reset = gates[:k], gates[k:]
                     d_new = back * (1 - keep) * (1 - new**2)
                     d_keep = back * (before - new) * keep * (1 - keep)
@@ -148,7 +153,7 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
 
 
-def train(docs: DataFrame, per_language: int = 400, windows: int = 3000, seed: int = 19) -> Network | None:
+def train(docs: DataFrame, per_language: int = 400, windows: int = 3000, seed: int = 19, per_text: int = 16) -> Network | None:
     """A network from about ``per_language`` texts of each language outside the held-out fold."""
     common.ship(docs.sparkSession)
     rows = docs.where("lang is not null and doc_id is not null").where(~held_out()).select("doc_id", "lang", "text")
@@ -165,23 +170,24 @@ def train(docs: DataFrame, per_language: int = 400, windows: int = 3000, seed: i
                 for i in range(len(offsets) - 1):
                     mine = np.flatnonzero(owner == i)
                     if len(mine):
-                        mine = mine[np.linspace(0, len(mine) - 1, min(16, len(mine))).astype(int)]
-                        mine = mine[valid[:, mine].all(0)]
-                        yield pa.RecordBatch.from_arrays([frame.column(0).slice(row + i, 1), frame.column(1).slice(row + i, 1), pa.array([np.ascontiguousarray(w[:, mine].T).tobytes()], pa.binary())], ["lang", "doc_id", "windows"])
+                        mine = mine[np.linspace(0, len(mine) - 1, min(per_text, len(mine))).astype(int)]
+                        yield pa.RecordBatch.from_arrays([frame.column(0).slice(row + i, 1), frame.column(1).slice(row + i, 1), pa.array([np.ascontiguousarray(w[:, mine].T).tobytes()], pa.binary()), pa.array([valid[:, mine].sum(0).astype(np.uint8).tobytes()], pa.binary())], ["lang", "doc_id", "windows", "sizes"])
 
-    got = chosen.mapInArrow(some, "lang string, doc_id long, windows binary").toArrow().to_pandas().sort_values(["lang", "doc_id"])
+    got = chosen.mapInArrow(some, "lang string, doc_id long, windows binary, sizes binary").toArrow().to_pandas().sort_values(["lang", "doc_id"])
     got = got[got.windows.map(len) > 0]
     languages = sorted(got.lang.unique().tolist())
     if not languages:
         return None
     rng = np.random.default_rng(seed)
-    parts, targets = [], []
+    parts, sizes, targets = [], [], []
     for k, name in enumerate(languages):
         all_windows = np.frombuffer(b"".join(got.windows[got.lang == name]), np.uint8).reshape(-1, WINDOW)
         take = rng.choice(len(all_windows), windows // len(languages), replace=len(all_windows) < windows // len(languages))
         parts.append(all_windows[take].T)
+        sizes.append(np.frombuffer(b"".join(got.sizes[got.lang == name]), np.uint8)[take])
         targets.append(np.full(len(take), k))
-    return fit(np.hstack(parts), np.concatenate(targets), languages)
+    valid = (np.arange(WINDOW)[:, None] < np.concatenate(sizes)[None, :]).astype(np.float32)
+    return fit(np.hstack(parts), np.concatenate(targets), languages, valid=valid)
 
 
 def label(docs: DataFrame, net: Network | None, said: str = "lang_pred", sure: str = "score") -> DataFrame:

@@ -201,6 +201,16 @@ def test_language_odd_rows(spark):
     assert (language_gru.identify(docs_of(spark, ODD, lang=None)).toPandas().lang_pred == "und").all()
 
 
+def test_language_of_short_texts_is_learned(spark):
+    rng = random.Random(6)
+    said = lambda letters, k: " ".join("".join(rng.choices(letters, k=4)) for _ in range(k))
+    rows = [(i, said("abcde", 60), "long") for i in range(80)] + [(100 + i, said("vwxyz", 6), "short") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = language_gru.identify(docs).toPandas().merge(pd.DataFrame(rows, columns=["doc_id", "text", "lang"]), on="doc_id")
+    fold = out[out.held_out]
+    assert set(fold.lang) == {"long", "short"} and (fold.lang_pred == fold.lang).all()
+
+
 def test_language_gradient():
     """Training lowers the loss and learns two byte patterns."""
     w = np.hstack([np.tile(np.frombuffer(b"abab", np.uint8)[:, None], (4, 20)), np.tile(np.frombuffer(b"cdcd", np.uint8)[:, None], (4, 20))])

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.runtime import materialize, shared_dir, ship  # noqa: F401  shared by all operators
+from graphloom.runtime import materialize, materialize_observed, shared_dir, ship  # noqa: F401  shared by all operators
 
 U64 = np.uint64
 #: Bytes that belong to a word: ASCII letters and digits, and every byte of a non-ASCII character.
@@ -85,13 +85,23 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.n
     return mix64((sums[stops] - sums[starts]) * down[starts])
 
 
-def batches(frames: Iterator[pa.RecordBatch], key: str, target: int = 1 << 14) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole groups from rows sorted by ``key``, with the group offsets.
+def group_ends(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Rows of ``table`` at which one of the keys changes."""
+    import pyarrow.compute as pc
+
+    new = np.zeros(max(0, table.num_rows - 1), bool)
+    for key in keys:
+        column = table.column(key)
+        new |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new) + 1
+
+
+def batches(frames: Iterator[pa.RecordBatch], keys: str | list[str], target: int = 1 << 14) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups from rows sorted by ``keys``, with the group offsets.
 
     A group is never cut; groups are gathered until ``target`` rows.
     """
-    import pyarrow.compute as pc
-
+    keys = [keys] if isinstance(keys, str) else keys
     held: list[pa.RecordBatch] = []
     rows = 0
     for batch in frames:
@@ -102,8 +112,7 @@ def batches(frames: Iterator[pa.RecordBatch], key: str, target: int = 1 << 14) -
         if rows < target:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
-        column = table.column(key)
-        ends = np.flatnonzero(pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)) + 1
+        ends = group_ends(table, keys)
         if len(ends):
             cut = int(ends[-1])
             yield table.slice(0, cut), np.concatenate(([0], ends))
@@ -111,9 +120,7 @@ def batches(frames: Iterator[pa.RecordBatch], key: str, target: int = 1 << 14) -
             held, rows = rest.to_batches(), rest.num_rows
     if rows:
         table = pa.Table.from_batches(held).combine_chunks()
-        column = table.column(key)
-        ends = np.flatnonzero(pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)) + 1
-        yield table, np.concatenate(([0], ends, [table.num_rows]))
+        yield table, np.concatenate(([0], group_ends(table, keys), [table.num_rows]))
 
 
 # ---------------------------------------------------------------- components
@@ -136,24 +143,42 @@ def local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             return root
 
 
+#: Links of one node from which it is hot, and the most nodes that can be hot at a time.
+HOT, MOST_HOT = 512, 100_000
+
+
+def _with_low(rows: DataFrame, low: DataFrame, hot: int | None) -> DataFrame:
+    """``rows`` (u, v) with the ``m`` of their ``u`` in ``low`` (u, m, n).
+
+    Nodes with more than ``hot`` links are fewer than links / hot, a number with a fixed bound, so
+    their part of ``low`` is broadcast and the star of a hub stays where its links are.  With no
+    more than ``hot`` links in all, ``hot`` is given as none.
+    """
+    if hot is None:
+        return rows.join(low.select("u", "m"), "u")
+    hubs = F.broadcast(low.where(F.col("n") > hot).select("u", "m"))
+    few = rows.join(F.broadcast(low.where(F.col("n") > hot).select("u")), "u", "left_anti").join(low.where(F.col("n") <= hot).select("u", "m"), "u")
+    return rows.join(hubs, "u").unionByName(few)
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of links (a, b): the smallest node reachable.
 
-    Alternating large-star and small-star steps.  Every step is a partial
-    minimum by node and a join on it, so a star of millions of links stays
-    spread out; the rows of a step never exceed the links.
+    Alternating large-star and small-star steps.  Every step is a partial minimum by node, which is
+    then brought to the node's links; the rows of a step never exceed the links.
     """
     links = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    links = materialize(links, "links")
-    seen = None
+    sums = {"n": F.count("*"), "h": F.sum(F.hash("u", "v").cast("long")), "su": F.sum(F.col("u").cast("decimal(38,0)")), "sv": F.sum(F.col("v").cast("decimal(38,0)"))}
+    links, seen = materialize_observed(links, "links", **sums)
     for _ in range(rounds):
+        hot = max(HOT, 2 * seen["n"] // MOST_HOT)
+        hot = hot if seen["n"] > hot else None
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        links = materialize(small.where("u <> v").distinct(), "links")
-        now = tuple(links.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)"))).first())
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = _with_low(both, low, hot).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_low(large, low, hot).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        links, now = materialize_observed(small.where("u <> v").distinct(), "links", **sums)
         if now == seen:
             return links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
         seen = now

@@ -128,6 +128,41 @@ def test_forest_equals_brute_force(spark):
     assert out.component_id[[5, 6, 7]].nunique() == 1
 
 
+def test_mixed_lengths_agree_with_sql(spark, tmp_path):
+    """Vectors of three lengths, a null id, repeated ids: each length meets its own, in code and in SQL."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(360):
+        dim = (16, 16, 3, 5)[i % 4]
+        x = rng.normal(size=dim) if i < 200 else np.array(rows[i - 200][1]) + rng.normal(size=dim) * 0.1
+        rows.append((i, x.astype(np.float32).tolist(), 0, 1, 2))
+    rows += [(400, [1.0, 2.0, 3.0], 0, 1, 2), (401, [1.0, 2.0, 3.0], 0, 1, 2), (450, [0.5], 0, 1, 2), (451, [0.25], 0, 1, 2), (500, [], 0, 1, 2), (550, None, 0, 1, 2), (551, [None, 1.0], 0, 1, 2), (600, [0.0, 0.0, 0.0], 0, 1, 2)]
+    frame = spark.createDataFrame(rows, VECTORS)
+    frame.coalesce(1).write.parquet(str(tmp_path / "embeddings"))
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings/*.parquet')")
+    for name, got in (("op2_embedding_near_dedup", rp_forest.embedding_near_duplicates(frame, leaf=32, block=20)), ("op10_exact_top_k", ball_tree.exact_top_k(frame, shard=50))):
+        got, want = got.toPandas(), con.execute(catalogue.oracle_sql()[name]).df()[got.columns]
+        assert sorted(got.itertuples(index=False, name=None)) == sorted(want.itertuples(index=False, name=None))
+
+
+def test_forest_sends_little_to_tasks():
+    """Cuts and numbers only: below 10 MB at 1,024 components, with as many nodes as the sample allows."""
+    import pickle
+
+    rng = np.random.default_rng(0)
+    x = rp_forest.unit(rng.normal(size=(2048, 1024)))
+    tree = rp_forest.fit_tree(x, rp_forest.pool(1024, 3), 8, 0.0, rng)
+    nodes = len(tree[0])
+    assert len(pickle.dumps(tree)) / nodes * 12 * (65_536 / 2) < 10 << 20
+
+
+def test_ball_tree_of_an_id_with_two_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.5]), (2, [0.25, 2.0]), (3, [0.0, 0.0])]
+    out = ball_tree.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).toPandas()
+    assert out.sort_values("rank")[["vec_id", "score"]].values.tolist() == [[2, 131072], [1, 65536], [1, 32768]]
+
+
 def test_forest_keeps_the_links_of_a_large_cluster(spark):
     """A third of all vectors in one cluster, at cosines of about 0.95 and about 0.9."""
     rng = np.random.default_rng(8)

@@ -6,12 +6,14 @@ table has it).  The score is the logistic of a bias, linear weights and all pair
 of the features through ``RANK`` latent factors, computed in linear time as half of
 (sum v x)^2 - sum (v x)^2.
 
-The model is fitted in numpy on at most ``sample`` labelled rows, chosen by a hash of their id;
-executors turn those into features, so texts stay where they are.
+The model is fitted in numpy on at most ``sample`` labelled documents, chosen by a hash of their id;
+executors turn those into features, so texts stay where they are, and a document comes as its
+different words with counts (no more than ``BUCKETS``).
 
 Defined results: null and empty texts get the score of their (empty) features; labels that are
 null or outside 0 and 1 teach nothing; several labels of one document count as their maximum;
-without any label every score is 0.5.
+of rows that share a doc_id, one teaches: that whose text has the smallest hash, so reruns agree;
+without any label every score is 0.5.  Very long texts are read whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -110,8 +112,12 @@ class Machine:
         return self.bias + sums[:, 0] + 0.5 * ((sums[:, 1:] ** 2).sum(1) - squares)
 
 
-def fit(buckets: list[np.ndarray], stats: np.ndarray, y: np.ndarray, steps: int = 1000, batch: int = 128, rate: float = 0.05, decay: float = 1e-4, seed: int = 11) -> Machine:
-    """Fit by ``steps`` (or a little more, to whole epochs) mini-batch gradient steps with per-weight rates."""
+def fit(words: list[tuple[np.ndarray, np.ndarray]], stats: np.ndarray, y: np.ndarray, steps: int = 1000, batch: int = 128, rate: float = 0.05, decay: float = 1e-4, seed: int = 11) -> Machine:
+    """Fit by ``steps`` (or a little more, to whole epochs) mini-batch gradient steps with per-weight rates.
+
+    A document is its different word buckets and their counts, whose occurrences all weigh the same:
+    sums over occurrences are sums over buckets times counts.
+    """
     rng = np.random.default_rng(seed)
     weights = np.zeros((BUCKETS + STATS, RANK + 1), np.float32)
     weights[:, 1:] = rng.normal(0, 0.02, (len(weights), RANK))
@@ -120,40 +126,62 @@ def fit(buckets: list[np.ndarray], stats: np.ndarray, y: np.ndarray, steps: int
     mean, scale = stats.mean(0), stats.std(0) + 1e-3
     model = Machine(float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))), weights, mean, scale)
     seen, bias_seen = np.full(weights.shape, 1e-2, np.float32), 1e-2
+    value = np.array([1 / np.sqrt(max(1, n.sum())) for _, n in words], np.float32)
+    entries = [(n * v).astype(np.float32) for (_, n), v in zip(words, value)]
+    sizes = np.array([len(w) for w, _ in words])
+    number, room = np.empty(BUCKETS, np.int64), np.empty(batch * (BUCKETS + STATS), np.float32)
     for _ in range(-(-steps // -(-len(y) // batch))):
         order = rng.permutation(len(y))
         for a in range(0, len(y), batch):
             rows = order[a : a + batch]
-            words = np.array([len(buckets[r]) for r in rows])
-            firsts = np.concatenate(([0], np.cumsum(words)))
-            flat = np.concatenate([buckets[r] for r in rows]).astype(np.int64)
-            x = np.clip((stats[rows] - mean) / scale, -6, 6)
-            value = (1 / np.sqrt(np.maximum(1, words))).astype(np.float32)
-            wrong = (1 / (1 + np.exp(-model.logits(flat, firsts, stats[rows]))) - y[rows]).astype(np.float32) / len(rows)
-            owner = np.repeat(np.arange(len(rows)), words)
-            latent = x @ weights[BUCKETS:, 1:]
-            if len(flat):
-                held = np.zeros_like(latent)
-                np.add.at(held, owner, weights[flat, 1:] * value[owner, None])
-                latent += held
-            # Gradients: linear g x; latent g (x sum - v x^2), of occurrences summed by bucket.
-            used, place = np.unique(flat, return_inverse=True)
-            gx = wrong * value
-            linear = np.bincount(place, gx[owner], len(used))
-            own = np.bincount(place, (gx * value)[owner], len(used))
-            pull = np.zeros((len(used), RANK), np.float32)
-            np.add.at(pull, place, (gx[:, None] * latent)[owner])
-            sparse = np.hstack([linear[:, None], pull - own[:, None] * weights[used, 1:]])
-            dense = np.hstack([(x.T @ wrong)[:, None], x.T @ (wrong[:, None] * latent) - (x**2).T @ wrong[:, None] * weights[BUCKETS:, 1:]])
+            flat = np.concatenate([words[r][0] for r in rows.tolist()])
+            number[:] = 0
+            number[flat] = 1
+            used = np.flatnonzero(number)
+            number[used] = np.arange(len(used))
+            # Batch documents by batch buckets, then statistics.
+            width = len(used) + STATS
+            once = room[: len(rows) * width]
+            once[:] = 0
+            once[np.repeat(np.arange(len(rows)) * width, sizes[rows]) + number[flat]] = np.concatenate([entries[r] for r in rows.tolist()])
+            once = once.reshape(len(rows), width)
+            once[:, len(used) :] = np.clip((stats[rows] - mean) / scale, -6, 6)
             index = np.concatenate([used, np.arange(BUCKETS, BUCKETS + STATS)])
-            step = np.vstack([sparse, dense]).astype(np.float32) + decay * weights[index]
-            seen[index] += step**2
-            weights[index] -= rate * step / np.sqrt(seen[index])
-            bias_seen += wrong.sum() ** 2
-            model.bias -= rate * float(wrong.sum() / np.sqrt(bias_seen))
+            now, so_far = weights.take(index, axis=0), seen.take(index, axis=0)
+            step, pull = gradient(model.bias, now, once, value[rows], y[rows])
+            step += decay * now
+            so_far += step * step
+            step *= rate
+            step /= np.sqrt(so_far)
+            now -= step
+            weights[index], seen[index] = now, so_far
+            bias_seen += pull**2
+            model.bias -= rate * float(pull / np.sqrt(bias_seen))
     return model
 
 
+def gradient(bias: float, weights: np.ndarray, once: np.ndarray, value: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Derivatives of the mean loss by ``weights`` (column 0 linear, the rest latent) and by the bias.
+
+    ``once`` is documents by features: a word's count times the ``value`` of one occurrence in that
+    document, and at the end the ``STATS`` statistics.  Linear: g x; latent: g (x sum - v x^2), where the
+    squares of a word's occurrences add up to its entry times the value.
+    """
+    split = weights.shape[0] - STATS
+    x, energy = once[:, split:], (weights[:, 1:] ** 2).sum(1)
+    sums = once @ weights
+    squares = value * (once[:, :split] @ energy[:split]) + x**2 @ energy[split:]
+    logits = bias + sums[:, 0] + 0.5 * ((sums[:, 1:] ** 2).sum(1) - squares)
+    g = ((1 / (1 + np.exp(-logits)) - y) / len(y)).astype(once.dtype)
+    sums[:, 0] = 1
+    out = once.T @ np.hstack([g[:, None] * sums, (g * value)[:, None]])
+    own = out[:, -1].copy()
+    own[split:] = x.T**2 @ g
+    out = out[:, :-1]
+    out[:, 1:] -= own[:, None] * weights[:, 1:]
+    return out, float(g.sum())
+
+
 def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
 
@@ -165,18 +193,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Machine:
     chosen = known.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text", _stored_length(docs).alias("n_chars"))
     picked = rows.join(F.broadcast(chosen), "doc_id")  # at most ``sample`` ids
+    # Rows of one id become one before anything is sent, on the side that reads them first.
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "n_chars", "quality")).alias("one")
+    picked = picked.groupBy("doc_id").agg(one).select("doc_id", "one.text", "one.n_chars", "one.quality")
 
     def apply(frames):
         for frame in frames:
             for row, buckets, firsts, stats in features(frame.column(1), _lengths(frame.column(2), frame.column(1))):
                 n = len(firsts) - 1
-                words = [buckets[a:b].tobytes() for a, b in zip(firsts[:-1], firsts[1:])]
-                yield pa.RecordBatch.from_arrays([frame.column(0).slice(row, n), frame.column(3).slice(row, n), pa.array(words, pa.binary()), pa.array([s.tobytes() for s in stats], pa.binary())], ["doc_id", "quality", "words", "stats"])
+                words = [np.unique(buckets[a:b], return_counts=True) for a, b in zip(firsts[:-1], firsts[1:])]
+                yield pa.RecordBatch.from_arrays([frame.column(0).slice(row, n), frame.column(3).slice(row, n), pa.array([w.tobytes() for w, _ in words], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in words], pa.binary()), pa.array([s.tobytes() for s in stats], pa.binary())], ["doc_id", "quality", "words", "counts", "stats"])
 
-    got = picked.select("doc_id", "text", "n_chars", "quality").mapInArrow(apply, "doc_id long, quality int, words binary, stats binary").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
-    buckets = [np.frombuffer(w, np.uint16) for w in got.column("words").to_pylist()]
+    got = picked.mapInArrow(apply, "doc_id long, quality int, words binary, counts binary, stats binary").toArrow().sort_by("doc_id")
+    words = [(np.frombuffer(w, np.uint16), np.frombuffer(c, np.int32)) for w, c in zip(got.column("words").to_pylist(), got.column("counts").to_pylist())]
     stats = np.frombuffer(b"".join(got.column("stats").to_pylist()), np.float32).reshape(-1, STATS)
-    return fit(buckets, stats, got.column("quality").to_numpy().astype(np.float32))
+    return fit(words, stats, got.column("quality").to_numpy().astype(np.float32))
 
 
 def _lengths(column: pa.Array, texts: pa.Array) -> np.ndarray:

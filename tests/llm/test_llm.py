@@ -223,6 +223,46 @@ def test_machine_matches_the_pairwise_sum():
     assert m.logits(words, np.array([0, 6]), stats)[0] == pytest.approx(want, rel=1e-4)
 
 
+def test_quality_gradient_matches_differences_of_the_loss():
+    """The fit's derivatives against differences of the loss of the pairwise form, word by word."""
+    rng = np.random.default_rng(2)
+    words, buckets = [[3, 1, 1, 0], [], [1, 2]], 4
+    weights, bias = rng.normal(0, 0.3, (buckets + quality_fm.STATS, quality_fm.RANK + 1)), 0.1
+    x, y = rng.normal(size=(3, quality_fm.STATS)), np.array([1.0, 0.0, 1.0])
+
+    def loss():
+        out = 0.0
+        for w, s, t in zip(words, x, y):
+            index, value = [*w, *range(buckets, len(weights))], [1 / np.sqrt(max(1, len(w)))] * len(w) + s.tolist()
+            z = bias + sum(weights[i, 0] * v for i, v in zip(index, value))
+            z += sum(value[a] * value[b] * float(weights[index[a], 1:] @ weights[index[b], 1:]) for a in range(len(index)) for b in range(a))
+            out += (np.log1p(np.exp(z)) - t * z) / len(y)
+        return out
+
+    times = np.array([[w.count(k) for k in range(buckets)] for w in words], float)
+    value = np.array([1 / np.sqrt(max(1, len(w))) for w in words])
+    got, pull = quality_fm.gradient(bias, weights, np.hstack([times * value[:, None], x]), value, y)
+    for i in range(len(weights)):
+        for column in (0, 3):
+            before, sides = weights[i, column], []
+            for way in (1e-5, -1e-5):
+                weights[i, column] = before + way
+                sides.append(loss())
+            weights[i, column] = before
+            assert got[i, column] == pytest.approx((sides[0] - sides[1]) / 2e-5, rel=1e-4, abs=1e-8)
+    base = loss()
+    bias += 1e-6
+    assert pull == pytest.approx((loss() - base) / 1e-6, rel=1e-3)
+
+
+def test_quality_of_repeated_ids_is_the_same_in_every_run(spark):
+    rows = [(i % 40, f"text {i} of many words {i * i} {'z' * (i % 7)}", 10) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    a, b = (quality_fm.train(d, labels) for d in (docs, docs.orderBy(docs.text.desc()).repartition(5)))
+    assert (a.weights == b.weights).all() and a.bias == b.bias
+
+
 def test_language_held_out(spark):
     out = catalogue.op5_language_id(spark, MIDDLE).toPandas().merge(pd.read_parquet(f"{MIDDLE}/documents.parquet")[["doc_id", "lang"]], on="doc_id")
     fold = out[out.held_out]

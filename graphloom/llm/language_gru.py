@@ -7,9 +7,10 @@ afresh.  Training is backpropagation through time in numpy, in the driver, and s
 fixed size: about ``per_language`` texts of each language, chosen by a hash of the id, up to
 ``per_text`` windows spread over each, and of those ``windows`` in all, the same for each language
 (drawn with repetition where there are fewer).  A window that a text doesn't fill teaches by the
-bytes it has, so that short texts teach too.
+bytes it has, so that short texts teach too.  Up to ``languages`` languages are learned, the most frequent
+ones, and of many languages fewer texts each, so that the sample keeps its size.
 
-Defined results: null texts and texts without a letter are ``und`` with score 0; rows with a null
+Defined results: a text of any length is read whole, one under ``WINDOW`` bytes as one partial window; null texts and texts without a letter are ``und`` with score 0; rows with a null
 ``lang`` teach nothing; without any training row every text is ``und``.
 """
 
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,11 +96,47 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.where(valid, SEEN[data[np.minimum(at, len(data) - 1)]], 32).astype(np.uint8), valid.astype(np.float32), owner
 
 
+def gradients(p: list[np.ndarray], x: np.ndarray, on: np.ndarray, wanted: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Mean cross-entropy of the valid positions of windows ``x`` (steps x n), and its derivatives by the weights ``p``."""
+    k, steps, n = HIDDEN, x.shape[0], x.shape[1]
+    trace = [[], []]
+    for d, times in ((0, range(steps)), (1, range(steps - 1, -1, -1))):
+        h = np.zeros((k, n), p[0].dtype)
+        for t in times:
+            before = h
+            h, gates, new, drive = _step(p[d].take(x[t], axis=1), p[2 + d], h)
+            h = h * on[t]  # as in use: the backward state starts at the last byte
+            trace[d].append((t, before, gates, new, drive, h))
+    states = [{s[0]: s[5] for s in trace[d]} for d in (0, 1)]
+    said = {t: _softmax(p[4] @ states[0][t] + p[5] @ states[1][t] + p[6]) for t in range(steps)}
+    loss = -sum(float((np.log((said[t] * wanted).sum(0) + 1e-30) * on[t]).sum()) for t in range(steps)) / float(on.sum())
+    wrong = {t: (said[t] - wanted) * (on[t] / on.sum()) for t in range(steps)}
+    g = [np.zeros_like(v) for v in p]
+    for t in range(steps):
+        g[4] += wrong[t] @ states[0][t].T
+        g[5] += wrong[t] @ states[1][t].T
+        g[6] += wrong[t].sum(1, keepdims=True)
+    for d in (0, 1):
+        back = np.zeros((k, n), p[0].dtype)
+        for t, before, gates, new, drive, _ in reversed(trace[d]):
+            back = (back + p[4 + d].T @ wrong[t]) * on[t]
+            keep, reset = gates[:k], gates[k:]
+            d_new = back * (1 - keep) * (1 - new**2)
+            d_keep = back * (before - new) * keep * (1 - keep)
+            d_reset = d_new * drive * reset * (1 - reset)
+            into = np.vstack([d_keep, d_reset, d_new])
+            recurrent = np.vstack([d_keep, d_reset, d_new * reset])
+            np.add.at(g[d].T, x[t], into.T)
+            g[2 + d] += recurrent @ before.T
+            back = back * keep + p[2 + d].T @ recurrent
+    return loss, g
+
+
 def fit(windows: np.ndarray, targets: np.ndarray, languages: list[str], epochs: int = 12, batch: int = 256, rate: float = 0.01, seed: int = 7, valid: np.ndarray | None = None) -> Network:
     """Backpropagation through time with Adam; the loss is the mean cross-entropy of valid positions."""
     valid = np.ones(windows.shape, np.float32) if valid is None else valid
     rng = np.random.default_rng(seed)
-    k, m, steps = HIDDEN, len(languages), windows.shape[0]
+    k, m = HIDDEN, len(languages)
     p = [rng.normal(0, 0.3, (3 * k, 256)), rng.normal(0, 0.3, (3 * k, 256)), rng.normal(0, 0.3, (3 * k, k)), rng.normal(0, 0.3, (3 * k, k)), rng.normal(0, 0.3, (m, k)), rng.normal(0, 0.3, (m, k)), np.zeros((m, 1))]
     p = [x.astype(np.float32) for x in p]
     first, second, count = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p], 0
@@ -109,35 +146,7 @@ def fit(windows: np.ndarray, targets: np.ndarray, languages: list[str], epochs:
         order = rng.permutation(n)
         for a in range(0, n, batch):
             rows = order[a : a + batch]
-            x, on, wanted = windows[:, rows], valid[:, rows], np.eye(m, dtype=np.float32)[targets[rows]].T
-            trace = [[], []]
-            for d, times in ((0, range(steps)), (1, range(steps - 1, -1, -1))):
-                h = np.zeros((k, len(rows)), np.float32)
-                for t in times:
-                    before = h
-                    h, gates, new, drive = _step(p[d].take(x[t], axis=1), p[2 + d], h)
-                    h = h * on[t]  # as in use: the backward state starts at the last byte
-                    trace[d].append((t, before, gates, new, drive, h))
-            states = [{s[0]: s[5] for s in trace[d]} for d in (0, 1)]
-            wrong = {t: (_softmax(p[4] @ states[0][t] + p[5] @ states[1][t] + p[6]) - wanted) * (on[t] / on.sum()) for t in range(steps)}
-            g = [np.zeros_like(v) for v in p]
-            for t in range(steps):
-                g[4] += wrong[t] @ states[0][t].T
-                g[5] += wrong[t] @ states[1][t].T
-                g[6] += wrong[t].sum(1, keepdims=True)
-            for d in (0, 1):
-                back = np.zeros((k, len(rows)), np.float32)
-                for t, before, gates, new, drive, _ in reversed(trace[d]):
-                    back = (back + p[4 + d].T @ wrong[t]) * on[t]
-                    keep, reset = gates[:k], gates[k:]
-                    d_new = back * (1 - keep) * (1 - new**2)
-                    d_keep = back * (before - new) * keep * (1 - keep)
-                    d_reset = d_new * drive * reset * (1 - reset)
-                    into = np.vstack([d_keep, d_reset, d_new])
-                    recurrent = np.vstack([d_keep, d_reset, d_new * reset])
-                    np.add.at(g[d].T, x[t], into.T)
-                    g[2 + d] += recurrent @ before.T
-                    back = back * keep + p[2 + d].T @ recurrent
+            _, g = gradients(p, windows[:, rows], valid[:, rows], np.eye(m, dtype=np.float32)[targets[rows]].T)
             size = np.sqrt(sum(float((v**2).sum()) for v in g))
             count += 1
             now = rate * (1 - 0.9 * count / total)
@@ -153,14 +162,18 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
 
 
-def train(docs: DataFrame, per_language: int = 400, windows: int = 3000, seed: int = 19, per_text: int = 16) -> Network | None:
-    """A network from about ``per_language`` texts of each language outside the held-out fold."""
+def train(docs: DataFrame, per_language: int = 400, windows: int = 3000, seed: int = 19, per_text: int = 16, languages: int = 200) -> Network | None:
+    """A network from about ``per_language`` texts of each language outside the held-out fold.
+
+    The driver gets no more than about 100 x ``per_language`` texts of ``per_text`` windows each.
+    """
     common.ship(docs.sparkSession)
     rows = docs.where("lang is not null and doc_id is not null").where(~held_out()).select("doc_id", "lang", "text")
-    counts = rows.groupBy("lang").count()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    each = F.least(F.lit(float(per_language)), 100.0 * per_language / F.count("*").over(Window.partitionBy()))
+    counts = counts.withColumn("each", each)  # a row for each language, ``languages`` at most
     rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    # A row for each language: as many as the network has outputs, so small enough to broadcast.
-    chosen = rows.join(F.broadcast(counts), "lang").where(rank < per_language / F.col("count")).select("lang", "doc_id", "text")
+    chosen = rows.join(F.broadcast(counts), "lang").where(rank < F.col("each") / F.col("count")).select("lang", "doc_id", "text")
 
     def some(frames):
         # A text teaches by windows spread over all of it, so that long ones don't fill the driver.
@@ -175,14 +188,15 @@ def train(docs: DataFrame, per_language: int = 400, windows: int = 3000, seed: i
 
     got = chosen.mapInArrow(some, "lang string, doc_id long, windows binary, sizes binary").toArrow().to_pandas().sort_values(["lang", "doc_id"])
     got = got[got.windows.map(len) > 0]
-    languages = sorted(got.lang.unique().tolist())
+    languages = sorted(got.lang.unique().tolist())  # from here on, their names
     if not languages:
         return None
     rng = np.random.default_rng(seed)
     parts, sizes, targets = [], [], []
     for k, name in enumerate(languages):
         all_windows = np.frombuffer(b"".join(got.windows[got.lang == name]), np.uint8).reshape(-1, WINDOW)
-        take = rng.choice(len(all_windows), windows // len(languages), replace=len(all_windows) < windows // len(languages))
+        some = max(1, windows // len(languages))
+        take = rng.choice(len(all_windows), some, replace=len(all_windows) < some)
         parts.append(all_windows[take].T)
         sizes.append(np.frombuffer(b"".join(got.sizes[got.lang == name]), np.uint8)[take])
         targets.append(np.full(len(take), k))

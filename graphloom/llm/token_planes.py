@@ -11,11 +11,12 @@ ids and id counts of the segment's documents.
 
 ``write`` encodes documents in ascending doc_id order (range partitions, sorted), and stores
 segments as rows of a Parquet table in the shared folder, so that Spark's commit protocol
-covers a lost executor and any store that Spark can write works.  ``export`` and ``read_ids`` give
-and take plain files.
+covers a lost executor and any store that Spark can write works.  A segment knows how many ids stand
+before it in its partition; only the partitions' totals, a row each, are summed up and broadcast.
+``export`` writes segments as plain files, which ``Segment`` reads.
 
 Defined results: a null text has no ids but the end id; rows of equal doc_id stand by text; a null
-doc_id stands first.
+doc_id stands first.  Very long texts are read whole; extra columns are ignored; no rows give none.
 """
 
 from __future__ import annotations
@@ -106,16 +107,16 @@ class Segment:
         return np.concatenate(parts)
 
 
-def _encode(path: str | None, end: int, mode: str):
+def _encode(path: str | None, end: int, mode: str, segment: int):
     def apply(frames):
         encoder, part, number = tokens.encoder(path), TaskContext.get().partitionId(), 0
-        names, counts, held, size = [], [], [], 0
+        names, counts, held, size, before = [], [], [], 0, 0
 
         def flush():
-            nonlocal number, names, counts, held, size
+            nonlocal number, names, counts, held, size, before
             data = pack(names, counts, np.concatenate(held) if held else np.empty(0, encoder.dtype), mode)
-            row = pa.RecordBatch.from_pydict({"part": [part], "segment": [number], "n_ids": [size], "data": [data]}, schema=pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("n_ids", pa.int64()), ("data", pa.binary())]))
-            number, names, counts, held, size = number + 1, [], [], [], 0
+            row = pa.RecordBatch.from_pydict({"part": [part], "segment": [number], "in_part": [before], "n_ids": [size], "data": [data]}, schema=pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("in_part", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())]))
+            number, names, counts, held, size, before = number + 1, [], [], [], 0, before + size
             return row
 
         last = np.array([end], encoder.dtype)
@@ -125,7 +126,7 @@ def _encode(path: str | None, end: int, mode: str):
                 names.append(name)
                 counts.append(len(ids) + 1)
                 size += len(ids) + 1
-                if size >= SEGMENT:
+                if size >= segment:
                     yield flush()
         if names:
             yield flush()
@@ -133,20 +134,17 @@ def _encode(path: str | None, end: int, mode: str):
     return apply
 
 
-def write(docs: DataFrame, tokenizer: str | None = None, end: int = 0, mode: str = "byte") -> DataFrame:
+def write(docs: DataFrame, tokenizer: str | None = None, end: int = 0, mode: str = "byte", segment: int = SEGMENT) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and store them; the written segments
     (part, segment, first_id, n_ids, data), ``first_id`` being the ids of all documents before."""
     common.ship(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    stored = common.materialize(ordered.mapInArrow(_encode(tokenizer, end, mode), "part int, segment int, n_ids long, data binary"), "token-segments")
-    # Offsets in two steps: over the partitions (a row each), then inside each partition.
+    stored = common.materialize(ordered.mapInArrow(_encode(tokenizer, end, mode, segment), "part int, segment int, in_part long, n_ids long, data binary"), "token-segments")
     parts = stored.groupBy("part").agg(F.sum("n_ids").alias("part_ids"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("part_ids").over(before), F.lit(0)).alias("part_first"))
-    inside = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    places = stored.select("part", "segment", "n_ids").withColumn("in_part", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)))
-    places = places.join(parts, "part").select("part", "segment", (F.col("part_first") + F.col("in_part")).alias("first_id"))
-    return stored.join(places, ["part", "segment"])
+    # As many rows as the job has partitions.
+    return stored.join(F.broadcast(parts), "part").select("part", "segment", (F.col("part_first") + F.col("in_part")).alias("first_id"), "n_ids", "data")
 
 
 def documents_of(segments: DataFrame) -> DataFrame:

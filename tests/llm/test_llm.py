@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
@@ -286,7 +287,64 @@ def test_language_of_short_texts_is_learned(spark):
     assert set(fold.lang) == {"long", "short"} and (fold.lang_pred == fold.lang).all()
 
 
-def test_language_gradient():
+def plain_probabilities(net, text):
+    """The network by its equations, a byte at a time: update and reset gates, candidate, both ways, softmax."""
+    k, sig = language_gru.HIDDEN, lambda v: 1 / (1 + np.exp(-v))
+    seen = [int(language_gru.SEEN[b]) for b in text]
+
+    def states(way, order):
+        h, out = np.zeros(k), {}
+        for t in order:
+            entry, u = net.tables[way][:, seen[t]], net.recurrent[way]
+            keep, reset = sig(entry[:k] + u[:k] @ h), sig(entry[k : 2 * k] + u[k : 2 * k] @ h)
+            new = np.tanh(entry[2 * k :] + reset * (u[2 * k :] @ h))
+            h = keep * h + (1 - keep) * new
+            out[t] = h
+        return out
+
+    ahead, back = states(0, range(len(seen))), states(1, range(len(seen) - 1, -1, -1))
+    sums = np.zeros(len(net.languages))
+    for t in range(len(seen)):
+        z = net.output[0] @ ahead[t] + net.output[1] @ back[t] + net.bias[:, 0]
+        e = np.exp(z - z.max())
+        sums += e / e.sum()
+    return sums
+
+
+def test_language_network_equals_its_equations(spark):
+    """Labels of whole texts, long and short, against the network run a byte at a time."""
+    rng = np.random.default_rng(9)
+    k = language_gru.HIDDEN
+    draw = lambda *shape: rng.normal(0, 0.5, shape).astype(np.float32)
+    net = language_gru.Network(["p", "q", "r"], [draw(3 * k, 256), draw(3 * k, 256)], [draw(3 * k, k), draw(3 * k, k)], [draw(3, k), draw(3, k)], draw(3, 1))
+    texts = ["a", "Ab 12 %$ zé", "x" * 63, "y z" * 40, "long text " * 31]
+    out = language_gru.label(docs_of(spark, texts), net).toPandas().sort_values("doc_id")
+    for text, got in zip(texts, out.itertuples()):
+        data = text.encode()
+        sums = sum(plain_probabilities(net, data[a : a + language_gru.WINDOW]) for a in range(0, len(data), language_gru.WINDOW)) / len(data)
+        assert got.lang_pred == net.languages[int(sums.argmax())] and got.score == pytest.approx(sums.max(), abs=1e-4)
+
+
+def test_language_gradient_matches_differences_of_the_loss():
+    """Backpropagation through time against finite differences, with windows that are partly filled."""
+    rng = np.random.default_rng(4)
+    k, m, steps, n = language_gru.HIDDEN, 3, 6, 4
+    p = [rng.normal(0, 0.4, s) for s in ((3 * k, 256), (3 * k, 256), (3 * k, k), (3 * k, k), (m, k), (m, k), (m, 1))]
+    x, wanted = rng.integers(97, 101, (steps, n)).astype(np.uint8), np.eye(m)[rng.integers(0, m, n)].T
+    on = (np.arange(steps)[:, None] < np.array([6, 3, 1, 5])[None, :]).astype(float)
+    _, g = language_gru.gradients(p, x, on, wanted)
+    for i, v in enumerate(p):
+        for _ in range(12):
+            at = (rng.integers(v.shape[0]), 97 + rng.integers(4) if i < 2 else rng.integers(v.shape[1]))
+            before, sides = v[at], []
+            for way in (1e-5, -1e-5):
+                v[at] = before + way
+                sides.append(language_gru.gradients(p, x, on, wanted)[0])
+            v[at] = before
+            assert g[i][at] == pytest.approx((sides[0] - sides[1]) / 2e-5, rel=1e-4, abs=1e-8)
+
+
+def test_language_training_learns_byte_patterns():
     """Training lowers the loss and learns two byte patterns."""
     w = np.hstack([np.tile(np.frombuffer(b"abab", np.uint8)[:, None], (4, 20)), np.tile(np.frombuffer(b"cdcd", np.uint8)[:, None], (4, 20))])
     net = language_gru.fit(w, np.repeat([0, 1], 20), ["p", "q"], epochs=20, batch=8)
@@ -345,6 +403,43 @@ def test_url_words_come_from_pages_and_classes_from_more_than_subdomains(spark):
     assert url_filter.UrlModel(counts=counts).segment("zeltcasino") == ("zelt", "casino")
 
 
+def test_url_odds_equal_a_plain_count(spark):
+    """Two rounds of expectation maximisation, by plain Python over whole word lists; long and odd URLs included."""
+    urls = ["https://m.casino-spam.example.com/fr/1", "https://casino.example.com/glimmer", "https://glimmer.example.net/fr/2", "https://city-news.example.org/de/3", "https://quiet.example.org/de/" + "q" * 5000, "x", None, "https://glimmer.example.net/fr/2"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    cut = pages.select(url_filter.host_of(pages.url).alias("host"), url_filter.path_of(pages.url).alias("path"))
+    counts = url_filter.token_counts(cut, 1000)
+    got = url_filter.learn(cut, counts, 1000)
+    seeds = {c: collections.Counter(w for r in url_filter._rows(t) for w in r) for c, t in url_filter.EXAMPLES.items()}
+    plain, rows = url_filter.UrlModel(counts=counts), [(r["host"], r["path"]) for r in cut.collect()]
+    odds, prior = None, math.log((len(url_filter._rows(url_filter.EXAMPLES["block"])) + 1) / (len(url_filter._rows(url_filter.EXAMPLES["allow"])) + 1))
+    for k in range(2):
+        sums, urls_of = {c: collections.Counter() for c in ("block", "allow")}, collections.Counter()
+        for host, path in rows:
+            words = plain.words(host, path)
+            if odds is None:
+                chance = lambda w, c: 1.0 * seeds[c][w] / sum(seeds[c].values()) + url_filter.UNSEEN
+                known = [math.log(chance(w, "block") / chance(w, "allow")) for w in words if w in seeds["block"] | seeds["allow"]]
+            else:
+                known = [odds[w] for w in words if w in odds]
+            p = 1 / (1 + math.exp(-(prior + sum(known)))) if known else 0.0
+            urls_of.update({"block": p, "allow": 1 - p})
+            for w in words:
+                sums["block"][w] += p
+                sums["allow"][w] += 1 - p
+        every = set(seeds["block"]) | set(seeds["allow"]) | set(sums["allow"])
+        mixed = lambda w, c: 0.5 * seeds[c][w] / sum(seeds[c].values()) + 0.5 * sums[c][w] / sum(sums[c].values()) + url_filter.UNSEEN
+        odds = {w: math.log(mixed(w, "block") / mixed(w, "allow")) for w in every}
+        prior = math.log((urls_of["block"] + 1) / (urls_of["allow"] + 1))
+    assert got.prior == pytest.approx(prior) and got.odds.keys() == odds.keys()
+    assert all(got.odds[w] == pytest.approx(odds[w], abs=1e-9) for w in odds)
+    out = url_filter.judge(pages).toPandas().sort_values("page_id")
+    assert out.verdict.tolist() == ["block", "block"] + ["allow"] * 6
+    for host, path, verdict, by in zip(out.host, out.path, out.block_log_odds, out.rule):
+        known = [odds[w] for w in plain.words(host, path) if w in odds]
+        assert verdict == pytest.approx(prior + sum(known), abs=1e-6) if known else verdict == -math.inf
+
+
 def test_segmentation_equals_exhaustive_search():
     model = url_filter.UrlModel()
 
@@ -437,6 +532,20 @@ def test_token_segments_round_trip(spark, library, tmp_path):
     assert read.ids(3, 9).tolist() == read.ids().tolist()[3:9]
 
 
+def test_token_segments_of_repeated_ids(spark, library):
+    """Rows of one id stand by text; many segments in a partition, each with its own place."""
+    rows = [(i % 5, f"text {i} of id") for i in range(60)] + [(3, None), (3, "same"), (3, "same")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    segments = token_planes.write(docs, segment=8)
+    assert segments.count() > 20
+    out = token_planes.documents_of(segments).toPandas().sort_values("start")
+    at = 0
+    for (d, t), got in zip(sorted((d, t or "") for d, t in rows), out.itertuples()):
+        ids = [*library.encode(t, add_special_tokens=False).ids, 0]
+        assert (got.doc_id, got.start, got.n_tokens, got.ids_crc32) == (d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
 def test_planes_invert():
     rng = np.random.default_rng(3)
     for ids in (rng.integers(0, 50257, 200_000), np.zeros(5, int), np.array([2**32 - 1, 0, 7]), np.empty(0, int)):
@@ -470,6 +579,38 @@ def test_differencing_is_a_near_even_partition():
     assert all(sum([600, 600, 600][i] for i in s) <= 1024 for s in packing.deal([600, 600, 600], 1024))
 
 
+def test_dealing_against_the_best_packing():
+    """Small groups: no more windows than the best packing of whole items needs, and one if all fit."""
+    def fewest(sizes, cap, loads=()):
+        if not sizes:
+            return len(loads)
+        best = len(loads) + len(sizes)
+        for i, load in enumerate(loads):
+            if load + sizes[0] <= cap:
+                best = min(best, fewest(sizes[1:], cap, (*loads[:i], load + sizes[0], *loads[i + 1 :])))
+        return min(best, fewest(sizes[1:], cap, (*loads, sizes[0])))
+
+    rng = random.Random(8)
+    for _ in range(40):
+        sizes = [rng.randrange(1, 1025) for _ in range(6)]
+        packer = packing.Packer(0, 1024, 64, 0.008)
+        out = [r for i, n in enumerate(sizes) for r in packer.add(i, np.arange(n, dtype="<u4"))] + packer.flush()
+        loads = collections.Counter()
+        for r in out:
+            loads[r[5]] += r[2]
+        assert max(loads.values()) <= 1024 and sum(loads.values()) == sum(sizes) and len(loads) <= fewest(sizes, 1024)
+        for i, n in enumerate(sizes):
+            mine = sorted((r[1], r[2]) for r in out if r[0] == i)
+            assert [a for a, _ in mine] == [0, *np.cumsum([k for _, k in mine]).tolist()[:-1]] and sum(k for _, k in mine) == n
+
+
+def test_packing_cuts_little(spark):
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet").coalesce(1)
+    out = packing.pack(docs).toPandas()
+    assert out.length.sum() / (1024 * out.sequence_id.nunique()) > 0.99
+    assert len(out) / docs.count() < 3
+
+
 # ---------------------------------------------------------------- all
 
 

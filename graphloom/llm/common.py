@@ -143,22 +143,22 @@ def local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             return root
 
 
-#: Links of one node from which it is hot, and the most nodes that can be hot at a time.
+#: Rows of one key up to which it is never hot, and the most keys that can be hot at a time.
 HOT, MOST_HOT = 512, 100_000
 
 
-def _with_low(rows: DataFrame, low: DataFrame, hot: int | None) -> DataFrame:
-    """``rows`` (u, v) with the ``m`` of their ``u`` in ``low`` (u, m, n).
+def with_counted(rows: DataFrame, counted: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined to ``counted`` (key, n, ...), which has a row for each key and its number of ``rows``.
 
-    Nodes with more than ``hot`` links are fewer than links / hot, a number with a fixed bound, so
-    their part of ``low`` is broadcast and the star of a hub stays where its links are.  With no
-    more than ``hot`` links in all, ``hot`` is given as none.
+    Keys of more than total / ``MOST_HOT`` rows are fewer than ``MOST_HOT``, so their part is broadcast,
+    and the rows of a hot key stay where they are.
     """
-    if hot is None:
-        return rows.join(low.select("u", "m"), "u")
-    hubs = F.broadcast(low.where(F.col("n") > hot).select("u", "m"))
-    few = rows.join(F.broadcast(low.where(F.col("n") > hot).select("u")), "u", "left_anti").join(low.where(F.col("n") <= hot).select("u", "m"), "u")
-    return rows.join(hubs, "u").unionByName(few)
+    hot = max(HOT, total // MOST_HOT)
+    if total <= hot:
+        return rows.join(counted, key)
+    hubs = F.broadcast(counted.where(F.col("n") > hot))
+    few = rows.join(F.broadcast(counted.where(F.col("n") > hot).select(key)), key, "left_anti").join(counted.where(F.col("n") <= hot), key)
+    return rows.join(hubs, key).unionByName(few)
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -171,13 +171,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     sums = {"n": F.count("*"), "h": F.sum(F.hash("u", "v").cast("long")), "su": F.sum(F.col("u").cast("decimal(38,0)")), "sv": F.sum(F.col("v").cast("decimal(38,0)"))}
     links, seen = materialize_observed(links, "links", **sums)
     for _ in range(rounds):
-        hot = max(HOT, 2 * seen["n"] // MOST_HOT)
-        hot = hot if seen["n"] > hot else None
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = _with_low(both, low, hot).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = with_counted(both, low, "u", 2 * seen["n"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = _with_low(large, low, hot).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        small = with_counted(large, low, "u", 2 * seen["n"]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         links, now = materialize_observed(small.where("u <> v").distinct(), "links", **sums)
         if now == seen:
             return links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))

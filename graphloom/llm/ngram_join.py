@@ -8,14 +8,18 @@ alike that splitting can't part them; what is then small or alike is compared by
 large bucket block against block.  Runs are
 repeated until the chance that a pair at the threshold never meets is below ``1 - recall``.
 
-Equal sets collapse to one representative first.  Members that meet in several buckets are
+Equal sets collapse to one representative first, which gets a number of its own.  Members that meet in several buckets are
 charged to the first bucket they share, so each link is counted once and no list of pairs is
 ever built: a bucket gives per-member link counts and one link to its local root.
+Where an earlier bucket holds most of a bucket's members, pairs within that part aren't looked at again.
 Candidates pass a sketch filter five standard deviations below the threshold and are then held
 to the exact Jaccard of the whole sets.
 
 Defined results: null, empty or word-less texts have no shingle and link with nothing; copies
-(rows with equal sets, repeated rows included) link with each other; extra columns are ignored.
+(rows with equal sets, repeated rows included) link with each other.  Very long texts are read whole
+and their blocks are smaller.  A class is named by its smallest doc_id, a null one only where it has no
+other; rows with a null doc_id link like others.  Similarities equal to the threshold link.  Extra
+columns, whatever their names, are ignored; no rows give none.
 """
 
 from __future__ import annotations
@@ -38,6 +42,8 @@ FANOUT = 2
 #: Members whose mean similarity makes a bucket one to compare rather than to split, and how
 #: many of a bucket's members (about) are looked at for that.
 ALIKE, LOOKED_AT = 0.5, 32
+#: Shingles of a block at most, unless a single text has more.
+BLOCK_ITEMS = 1 << 20
 _FACTORS = (np.random.default_rng(20240601).integers(0, 1 << 31, POSITIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
 _MASKS = np.random.default_rng(77).integers(0, 1 << 32, POSITIONS, dtype=np.uint32)
 
@@ -149,8 +155,8 @@ def _signatures(n: int, runs: int):
                 names = np.array([set_identity(s) for s in found], np.int64)
                 keys = bucket_keys(sketch, slots, list(range(runs))).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [rows, pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, runs, dtype=np.int32), keys.ravel())],
-                    ["doc_id", "rid", "rid2", "sketch", "keys"],
+                    [rows, pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, runs, dtype=np.int32), keys.ravel())],
+                    ["doc_id", "h1", "h2", "items", "sketch", "keys"],
                 )
 
     return apply
@@ -163,13 +169,13 @@ def _children(runs: int):
         for frame in frames:
             if not frame.num_rows:
                 continue
-            sketch = np.frombuffer(b"".join(frame.column(2).to_pylist()), np.uint32).reshape(-1, POSITIONS)
-            rid, slot = (frame.column(i).to_numpy() for i in (0, 1))
+            sketch = np.frombuffer(b"".join(frame.column(3).to_pylist()), np.uint32).reshape(-1, POSITIONS)
+            rid, items, slot = (frame.column(i).to_numpy() for i in (0, 1, 2))
             for s in np.unique(slot).tolist():
                 mine = slot == s
                 keys = bucket_keys(sketch[mine], slots, below[s]).view(np.int64)
                 for k, child in enumerate(below[s]):
-                    yield pa.RecordBatch.from_arrays([pa.array(rid[mine]), pa.array(np.full(len(keys), child, np.int32)), pa.array(keys[:, k])], ["rid", "slot", "key"])
+                    yield pa.RecordBatch.from_arrays([pa.array(rid[mine]), pa.array(items[mine]), pa.array(np.full(len(keys), child, np.int32)), pa.array(keys[:, k])], ["rid", "items", "slot", "key"])
 
     return apply
 
@@ -204,13 +210,27 @@ def _owned(owner: np.ndarray, i: np.ndarray, j: np.ndarray, slot: int) -> np.nda
     return out
 
 
-def _row_pairs(n: int, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs i < j of a group, or those over the two sides of a cell, in blocks of rows."""
+def _met_before(owner: np.ndarray, slot: int) -> np.ndarray:
+    """Rows of the largest leaf bucket of an earlier slot that is among the given rows: their pairs are owned there."""
+    best = np.zeros(len(owner), bool)
+    for s in np.flatnonzero((owner[:, :slot] != 0).any(0)).tolist():
+        names, place, times = np.unique(owner[:, s], return_inverse=True, return_counts=True)
+        times[names == 0] = 0
+        if times.max() > max(1, best.sum()):
+            best = place == times.argmax()
+    return best
+
+
+def _row_pairs(n: int, side: np.ndarray, met: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a group, or those over the two sides of a cell, in blocks of rows; none between rows ``met``."""
+    first = np.arange(n) if met is None else np.flatnonzero(~met)
     step = max(1, (1 << 17) // max(1, n))
     cross = bool(side.any())
-    for a in range(0, n, step):
-        i, j = np.meshgrid(np.arange(a, min(n, a + step)), np.arange(n), indexing="ij")
-        keep = (i < j) & (side[i] != side[j]) if cross else i < j
+    for a in range(0, len(first), step):
+        i, j = np.meshgrid(first[a : a + step], np.arange(n), indexing="ij")
+        keep = i < j if met is None else (i < j) | met[j]  # a pair of one row met and one not is seen from the latter
+        if cross:
+            keep &= side[i] != side[j]
         yield i[keep], j[keep]
 
 
@@ -226,7 +246,8 @@ def _candidates(width: int, least: int):
             for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
                 if b - a < 2:
                     continue
-                for i, j in _row_pairs(b - a, side[a:b]):
+                met = _met_before(owner[a:b], int(slot[a])) if b - a > 8 else None
+                for i, j in _row_pairs(b - a, side[a:b], met):
                     near = (sketch[a + i] == sketch[a + j]).sum(1) >= least
                     if near.any():
                         i, j = a + i[near], a + j[near]
@@ -246,10 +267,11 @@ def _sets(n: int):
         for frame in frames:
             table, row = pa.Table.from_batches([frame]), 0
             for sets in shingle_sets(frame.column(frame.schema.get_field_index("text")), n):
-                part = table.slice(row, len(sets)).drop_columns(["text"])
+                part = table.slice(row, len(sets))
                 row += len(sets)
-                rid = part.column("rid").to_numpy()
-                right = np.array([len(s) > 0 and set_identity(s)[0] == r for s, r in zip(sets, rid.tolist())], bool)
+                names = zip(part.column("h1").to_pylist(), part.column("h2").to_pylist())
+                right = np.array([len(s) > 0 and set_identity(s) == name for s, name in zip(sets, names)], bool)
+                part = part.drop_columns(["text", "h1", "h2"])
                 part = part.append_column("items", pa.array([s.tobytes() for s in sets], pa.binary())).filter(pa.array(right))
                 yield from part.to_batches()
 
@@ -324,15 +346,17 @@ def ngram_jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, leaf
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     least = math.floor(POSITIONS * threshold - 5 * math.sqrt(POSITIONS * threshold * (1 - threshold)))
 
-    signed = common.materialize(docs.mapInArrow(_signatures(n, runs), "doc_id long, rid long, rid2 long, sketch binary, keys array<long>"), "signed")
-    reps = common.materialize(signed.groupBy("rid", "rid2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")), "reps")
+    signed = common.materialize(docs.mapInArrow(_signatures(n, runs), "doc_id long, h1 long, h2 long, items long, sketch binary, keys array<long>"), "signed")
+    reps = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("items").alias("items"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+    reps, seen = common.materialize_observed(reps.withColumn("rid", F.monotonically_increasing_id()), "reps", n=F.count("*"))
 
-    rows, leaves = reps.select("rid", F.posexplode("keys").alias("slot", "key")), None
+    rows, leaves, total = reps.select("rid", "items", F.posexplode("keys").alias("slot", "key")), None, runs * seen["n"]
     for level in range(DEPTH):
-        sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-        found = common.materialize(rows.join(sizes, "key"), "rows")
+        sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("items").alias("all_items")).where("n > 1")
+        found = common.with_counted(rows, sizes, "key", total).withColumnRenamed("n", "size")
+        found, seen = common.materialize_observed(found, "rows", large=F.count_if(F.col("size") > leaf))
         large = found.where(F.col("size") > leaf)
-        if level == DEPTH - 1 or large.isEmpty():
+        if level == DEPTH - 1 or not seen["large"]:
             leaves = found if leaves is None else leaves.unionByName(found)
             break
         looked_at = large.where(F.pmod(F.xxhash64("rid", "key"), F.ceil(F.col("size") / LOOKED_AT)) == 0).join(reps.select("rid", "sketch"), "rid")
@@ -341,29 +365,29 @@ def ngram_jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, leaf
         settled = found.where(F.col("size") <= leaf).unionByName(large.join(alike, "key", "left_semi"))
         leaves = settled if leaves is None else leaves.unionByName(settled)
         split = large.join(alike, "key", "left_anti")
-        rows = split.join(reps.select("rid", "sketch"), "rid").select("rid", "slot", "sketch").mapInArrow(_children(runs), "rid long, slot int, key long")
-
-    owned = leaves.groupBy("rid").agg(F.collect_list(F.struct(F.col("slot").cast("int").alias("slot"), "key", "size")).alias("leaf"))
-    bits = reps.select("rid", "doc_id", "copies", "sketch").join(owned, "rid")
-    spread = bits.select("rid", "doc_id", "copies", "sketch", F.transform("leaf", lambda x: F.struct(x.slot.alias("slot"), x.key.alias("key"))).alias("own"), F.inline("leaf"))
-    # A large bucket is cut into blocks; every pair of blocks is a group of its own.
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    spread = spread.withColumn("blocks", blocks).withColumn("block", F.pmod(F.hash("rid"), F.col("blocks")))
+        rows, total = split.join(reps.select("rid", "sketch"), "rid").select("rid", "items", "slot", "sketch").mapInArrow(_children(runs), "rid long, items long, slot int, key long"), FANOUT * seen["large"]
+
+    # A large bucket is cut into blocks, by members and by shingles; every pair of blocks is a group of its own.
+    blocks = F.ceil(F.greatest(F.col("size") / block, F.col("all_items") / BLOCK_ITEMS)).cast("int")
+    owned = leaves.groupBy("rid").agg(F.collect_list(F.struct(F.col("slot").cast("int").alias("slot"), "key", F.least(blocks, F.col("size").cast("int")).alias("blocks"))).alias("leaf"))
+    bits = reps.select("rid", "h1", "h2", "doc_id", "copies", "sketch").join(owned, "rid")
+    spread = bits.select("rid", "h1", "h2", "doc_id", "copies", "sketch", F.transform("leaf", lambda x: F.struct(x.slot.alias("slot"), x.key.alias("key"))).alias("own"), F.inline("leaf"))
+    spread = spread.withColumn("block", F.pmod(F.hash("rid"), F.col("blocks")))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cell = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
-    spread = spread.select("rid", "doc_id", "copies", "slot", "own", cell.alias("cell"), F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"), (F.col("block") == F.col("other")).alias("within"), "sketch")
-    shape = "rid long, doc_id long, copies long, slot int, own array<struct<slot:int,key:long>>, cell long, side int"
+    spread = spread.select("rid", "doc_id", "copies", "slot", "own", cell.alias("cell"), F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"), (F.col("block") == F.col("other")).alias("within"), "sketch", "h1", "h2")
+    shape = "rid long, doc_id long, copies long, slot int, own array<struct<slot:int,key:long>>, cell long, side int, h1 long, h2 long"
     narrow = spread.mapInArrow(_narrow, f"{shape}, bits binary")
     near = narrow.repartition("cell").sortWithinPartitions("cell").mapInArrow(_candidates(len(slots), least), shape)
     near = common.materialize(near, "near")
 
     texts = docs.withColumnRenamed("doc_id", "of").join(near, F.col("of").eqNullSafe(F.col("doc_id"))).drop("of")
-    sets = texts.select("rid", "copies", "slot", "own", "cell", "side", "text").mapInArrow(_sets(n), "rid long, copies long, slot int, own array<struct<slot:int,key:long>>, cell long, side int, items binary")
+    sets = texts.select("rid", "copies", "slot", "own", "cell", "side", "h1", "h2", "text").mapInArrow(_sets(n), "rid long, copies long, slot int, own array<struct<slot:int,key:long>>, cell long, side int, items binary")
     linked = sets.repartition("cell").sortWithinPartitions("cell").mapInArrow(_verify(len(slots), threshold), "rid long, links long, root long")
     linked = common.materialize(linked, "linked")
 
-    known = common.classes(reps.select("rid", "rid2", F.col("doc_id").alias("id"), "copies"), linked)
-    whole = signed.select("doc_id", "rid", "rid2").join(known, ["rid", "rid2"]).select("doc_id", "class_id", "n_links")
+    known = common.classes(reps.select("rid", "h1", "h2", F.col("doc_id").alias("id"), "copies"), linked)
+    whole = signed.select("doc_id", "h1", "h2").join(known, ["h1", "h2"]).select("doc_id", "class_id", "n_links")
     # Texts without words are in no set: their rows come from the input itself.
     plain = docs.where(~F.coalesce("text", F.lit("")).rlike("[0-9A-Za-z]|[^\\x00-\\x7f]")).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return whole.unionByName(plain).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
@@ -377,5 +401,5 @@ def _narrow(frames):
         sketch = np.frombuffer(b"".join(frame.column(8).to_pylist()), np.uint8).reshape(-1, 4 * POSITIONS)[:, ::4]
         within = frame.column(7).to_numpy(zero_copy_only=False)
         side = np.where(within, 0, frame.column(6).to_numpy() + 1).astype(np.int32)
-        columns = [frame.column(i) for i in range(6)] + [pa.array(side), pa.array([x.tobytes() for x in sketch], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "copies", "slot", "own", "cell", "side", "bits"])
+        columns = [frame.column(i) for i in range(6)] + [pa.array(side), frame.column(9), frame.column(10), pa.array([x.tobytes() for x in sketch], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "copies", "slot", "own", "cell", "side", "h1", "h2", "bits"])

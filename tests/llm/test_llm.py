@@ -85,6 +85,26 @@ def test_ngram_join_takes_no_notice_of_case(spark):
     assert out.n_links.tolist() == links and sum(links) > 50
 
 
+def test_ngram_join_of_null_ids_and_ties(spark):
+    """Rows with null and repeated ids link like others; a similarity of exactly 0.8 links; long texts in small blocks."""
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(300)]
+    base = rng.choices(words, k=12)  # 8 shingles
+    tie = [*base, "x"]  # 9 shingles, 8 of them shared: 8/9
+    half = [*base[:-1], "y"]  # 7 of 9 shared: below
+    exact = [f"t{i}" for i in range(13)]  # 9 shingles against 9 with one other at each end: 8 of 10
+    other = ["z", *exact[:-1]]
+    texts = [(None, base), (None, base), (3, tie), (3, half), (4, exact), (5, other), (None, words[:40]), (8, ["w1"] * 30_000)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string")
+    out = ngram_join.ngram_jaccard_join(docs).toPandas()
+    sets = [plain_shingles(" ".join(t)) for _, t in texts]
+    links = [sum(i != j and 5 * len(a & b) >= 4 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    assert links[4:6] == [1, 1] and len(sets[4] & sets[5]) * 5 == 4 * len(sets[4] | sets[5])
+    got = sorted((-1 if pd.isna(r.doc_id) else r.doc_id, r.n_links) for r in out.itertuples())
+    assert got == sorted((-1 if i is None else i, n) for (i, _), n in zip(texts, links))
+    assert out[out.doc_id.isna()].sort_values("n_links").class_id.fillna(-1).tolist() == [-1, 3, 3]
+
+
 def test_lower_case_of_broken_text():
     raw = pa.array(["ÀB".encode() + b"\xff" + "ŞİЖ".encode(), "ÀBŞİЖ".encode(), None], pa.binary()).cast(pa.large_binary()).view(pa.large_string())
     got = ngram_join.lowered(raw).view(pa.large_binary()).to_pylist()

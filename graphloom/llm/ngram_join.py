@@ -365,7 +365,8 @@ def ngram_jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, leaf
         settled = found.where(F.col("size") <= leaf).unionByName(large.join(alike, "key", "left_semi"))
         leaves = settled if leaves is None else leaves.unionByName(settled)
         split = large.join(alike, "key", "left_anti")
-        rows, total = split.join(reps.select("rid", "sketch"), "rid").select("rid", "items", "slot", "sketch").mapInArrow(_children(runs), "rid long, items long, slot int, key long"), FANOUT * seen["large"]
+        below = split.join(reps.select("rid", "sketch"), "rid").select("rid", "items", "slot", "sketch").mapInArrow(_children(runs), "rid long, items long, slot int, key long")
+        rows, total = common.materialize(below, "below"), FANOUT * seen["large"]  # stored: read by the counts and by the join
 
     # A large bucket is cut into blocks, by members and by shingles; every pair of blocks is a group of its own.
     blocks = F.ceil(F.greatest(F.col("size") / block, F.col("all_items") / BLOCK_ITEMS)).cast("int")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..operators import budget, evaluation, fresh, impact, rank, resolve, search, structural, targets, traverse
+from ..operators import budget, evaluation, fresh, impact, rank, resolve, search, summary, targets, traverse
 from ..runtime import materialize
 from ..schemas import DEFAULT_BUDGET
 from ..sources import files
@@ -17,7 +17,7 @@ _Q: dict = {}
 _S: dict[str, str] = {}
 
 _SITES = """sites AS (SELECT DISTINCT src, dst, o, ln FROM (SELECT l_partkey AS src, l_orderkey AS o, l_linenumber AS ln,
-  lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem WHERE l_quantity >= 40)
+  lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem)
   WHERE dst IS NOT NULL AND dst <> src)"""
 _G = f"{_SITES}, g AS (SELECT DISTINCT src, dst FROM sites)"
 _N = """n AS (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY count(*) DESC, dst) AS rn FROM
@@ -46,12 +46,12 @@ def _busiest(edges):
 
 @query("graph_nodes_by_kind", "SELECT CASE WHEN p_partkey % 8 = 0 THEN 'class' ELSE 'function' END AS kind, count(*)::BIGINT AS n FROM part GROUP BY 1")
 def _(spark, d):
-    return p.part_symbols(spark, d).groupBy("kind").agg(F.count("*").alias("n"))
+    return summary.by_kind(p.part_symbols(spark, d))
 
 
 @query("graph_degree", f"WITH {_G} SELECT src::VARCHAR AS id, count(*)::BIGINT AS outs FROM g GROUP BY src")
 def _(spark, d):
-    return p.part_edges(spark, d).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("outs"))
+    return summary.out_degree(p.part_edges(spark, d))
 
 
 @query("definition", "SELECT p_partkey::VARCHAR AS id, p_name AS name, p_brand AS owner, p_type AS file FROM part WHERE p_name = (SELECT min(p_name) FROM part)")
@@ -136,19 +136,19 @@ def _(spark, d):
 @query("structural_search_kind_owner", "SELECT p_partkey::VARCHAR AS id FROM part WHERE p_partkey % 8 = 0 AND lower(p_brand) = (SELECT lower(min(p_brand)) FROM part)")
 def _(spark, d):
     s = p.part_symbols(spark, d)
-    return structural.search(s, None, f"kind:CLASS owner:{s.agg(F.min('owner')).first()[0]}").select("id")
+    return search.structural_search(s, None, f"kind:CLASS owner:{s.agg(F.min('owner')).first()[0]}").select("id")
 
 
 @query("structural_search_calls", f"WITH {_SITES}, w AS (SELECT split_part(min(p_name), ' ', 1) AS word FROM part) SELECT DISTINCT src::VARCHAR AS id FROM sites JOIN part ON p_partkey = dst, w WHERE contains(p_name, word)")
 def _(spark, d):
     s = p.part_symbols(spark, d)
-    return structural.search(s, p.call_edges(spark, d), f"calls:{s.agg(F.min('name')).first()[0].split()[0]}").select("id")
+    return search.structural_search(s, p.call_edges(spark, d), f"calls:{s.agg(F.min('name')).first()[0].split()[0]}").select("id")
 
 
 @query("structural_search_text", "WITH w AS (SELECT split_part(max(p_name), ' ', 1) AS word FROM part) SELECT p_partkey::VARCHAR AS id FROM part, w WHERE contains(lower(p_name || ' ' || p_type), lower(word))")
 def _(spark, d):
     s = p.part_symbols(spark, d)
-    return structural.search(s, None, s.agg(F.max("name")).first()[0].split()[0].upper()).select("id")
+    return search.structural_search(s, None, s.agg(F.max("name")).first()[0].split()[0].upper()).select("id")
 
 
 @query("suggest_names", """WITH t AS (SELECT min(p_name) || 's' AS w FROM part), n AS (SELECT DISTINCT p_name AS name, lower(p_name) AS low FROM part)
@@ -156,7 +156,7 @@ SELECT name, (CASE WHEN low = lower(w) THEN 0 WHEN contains(low, lower(w)) OR (l
 FROM n, t WHERE low = lower(w) OR contains(low, lower(w)) OR (length(low) >= 3 AND contains(lower(w), low)) OR levenshtein(low, lower(w)) <= greatest(2, length(w) // 3) ORDER BY score, name LIMIT 5""")
 def _(spark, d):
     s = p.part_symbols(spark, d)
-    return targets.suggest(s, s.agg(F.min("name")).first()[0] + "s")
+    return targets.suggest(s, "Any::" + s.agg(F.min("name")).first()[0] + "s")  # the last segment counts
 
 
 # ---------------------------------------------------------------- binding
@@ -205,7 +205,7 @@ def _(spark, d):
     return resolve.rebind_scope(done, s, touched, s.agg(F.max("name").alias("name"))).select("edge_id", "to_id")
 
 
-@query("sole_implementor", f"""WITH {_SITES}, y AS (SELECT o || ':' || ln || ':' || src || ':' || dst AS edge_id, p_name || p_size AS callee, src FROM sites JOIN part ON p_partkey = dst WHERE ln % 2 = 1),
+@query("sole_implementor", f"""WITH {_SITES}, y AS (SELECT o || ':' || ln || ':' || src || ':' || dst AS edge_id, p_name || p_size AS callee, src FROM sites JOIN part ON p_partkey = dst),
 z AS (SELECT edge_id, count(DISTINCT p_brand) AS owners, min(p_partkey::VARCHAR) AS to_id FROM y JOIN part ON p_name || p_size = callee AND p_partkey <> src AND p_partkey % 8 <> 0 GROUP BY edge_id)
 SELECT edge_id, to_id FROM z WHERE owners = 1""")
 def _(spark, d):
@@ -213,15 +213,15 @@ def _(spark, d):
     s = p.part_symbols(spark, d).withColumn("name", F.concat("name", "line_start"))
     iface = s.limit(1).select(*[F.lit({"id": "iface", "name": "Shape", "kind": "interface"}.get(c)).cast(s.schema[c].dataType).alias(c) for c in s.columns])
     names = s.select(F.col("id").alias("dst"), F.col("name").alias("to_name"))
-    e = p.call_edges(spark, d).where("line % 2 = 1").drop("to_name").withColumn("qualifier", F.lit("Shape")).withColumn("dst", F.element_at(F.split("edge_id", ":"), -1)).join(names, "dst")
+    e = p.call_edges(spark, d).drop("to_name").withColumn("qualifier", F.lit("Shape")).withColumn("dst", F.element_at(F.split("edge_id", ":"), -1)).join(names, "dst")
     return resolve.bind(e, s.unionByName(iface)).select("edge_id", "to_id")
 
 
-@query("import_evidence", r"""WITH s AS (SELECT doc_id, source, string_split_regex(coalesce(left(text, 200), ''), '[:./{},"''\\ \s<>]+') AS seg FROM documents)
+@query("import_evidence", r"""WITH s AS (SELECT doc_id, source, string_split_regex(coalesce(text, ''), '[:./{},"''\\ \s<>]+') AS seg FROM documents)
 SELECT doc_id, (CASE WHEN list_contains(seg, 'the') THEN 3 WHEN list_contains(seg, 'of') THEN 2 ELSE 0 END)::INT AS score FROM s""")
 def _(spark, d):
     docs = p.table(spark, d, "documents")
-    return docs.select("doc_id", resolve.import_evidence(paths.import_segments(F.left("text", F.lit(200))), F.lit("of/the.py")).alias("score"))
+    return docs.select("doc_id", resolve.import_evidence(paths.import_segments(F.col("text")), F.lit("of/the.py")).alias("score"))
 
 
 @query("path_normalise", r"""WITH u AS (SELECT page_id, regexp_extract(url, '://([^?#]*)', 1) || '/./a/../b/..' AS p FROM pages)
@@ -264,11 +264,26 @@ def _(spark, d):
 
 @query("repo_summary_files", "SELECT p_type AS file, count(*)::BIGINT AS symbols FROM part GROUP BY 1 ORDER BY symbols DESC, file LIMIT 15")
 def _(spark, d):
-    return p.part_symbols(spark, d).groupBy("file").agg(F.count("*").alias("symbols")).orderBy(F.desc("symbols"), "file").limit(15)
+    return summary.largest_files(p.part_symbols(spark, d))
 
 
-@query("repo_map", f"""WITH m AS ({_pagerank_sql(10, True)}), x AS (SELECT id, rank, p_type AS file, p_size AS line, p_name, p_brand, p_type FROM m JOIN part ON p_partkey::VARCHAR = id ORDER BY rank DESC, file, line, id LIMIT 300),
-y AS (SELECT *, (strlen(p_name) + strlen(p_name || ' ' || p_type) + strlen(p_type) + strlen(p_brand) + 10 + 64) // 4 + 1 + CASE WHEN row_number() OVER (PARTITION BY file ORDER BY rank DESC, file, line, id) = 1 THEN strlen(file) // 4 + 1 ELSE 0 END AS cost FROM x),
+_SUMMARY = f"""WITH bound AS (SELECT DISTINCT lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS d, l_partkey AS s FROM lineitem QUALIFY d IS NOT NULL AND d <> s), m AS ({_pagerank_sql(10, False)}),
+x AS (SELECT id, rank, (strlen(p_name) + strlen(p_name || ' ' || p_type) + strlen(p_type) + strlen(p_brand) + 10 + 64) // 4 + 1 AS cost FROM m JOIN part ON p_partkey::VARCHAR = id WHERE p_partkey IN (SELECT d FROM bound) ORDER BY rank DESC, id LIMIT 50),
+b AS (SELECT 1000 - least(500, (sum(strlen(l) + 8) + 256) // 4 + 1) AS most FROM (SELECT DISTINCT lower(p_type) AS l FROM part)),
+y AS (SELECT *, sum(cost) OVER (ORDER BY rank DESC, id ROWS UNBOUNDED PRECEDING) AS used, row_number() OVER (ORDER BY rank DESC, id) AS rn FROM x) SELECT id, used::BIGINT AS used FROM y, b WHERE used <= most OR rn = 1"""
+
+
+@query("repo_summary", _SUMMARY)
+def _(spark, d):
+    """The central symbols of a summary of 1,000 tokens."""
+    s, e = p.part_symbols(spark, d), p.call_edges(spark, d, bound=True)
+    ranks = materialize(_ranks(spark, d).select("node", F.round("rank", 8).alias("rank")), "ranks")
+    names = [r["language"] for r in s.select("language").distinct().collect()]
+    return summary.central_symbols(s, e, ranks, budget.summary_budget(1000, names)).select("id", "used")
+
+
+@query("repo_map", f"""WITH m AS ({_pagerank_sql(10, True)}), x AS (SELECT id, rank, p_type AS file, p_size AS line, p_name || ' ' || p_type AS sig FROM m JOIN part ON p_partkey::VARCHAR = id ORDER BY rank DESC, file, line, id LIMIT 2000),
+y AS (SELECT *, (strlen(sig) + 8) // 4 + 1 + CASE WHEN row_number() OVER (PARTITION BY file ORDER BY rank DESC, file, line, id) = 1 THEN (strlen(file) + 2) // 4 + 1 ELSE 0 END AS cost FROM x),
 z AS (SELECT *, sum(cost) OVER (ORDER BY rank DESC, file, line, id ROWS UNBOUNDED PRECEDING) AS used FROM y)
 SELECT id, file, round(rank / (SELECT max(rank) FROM m), 4) AS relative FROM z WHERE used <= 4000""")
 def _(spark, d):
@@ -276,7 +291,7 @@ def _(spark, d):
     ranks = materialize(ranks, "ranks")
     top = ranks.agg(F.max("rank").alias("top"))
     rows = ranks.join(p.part_symbols(spark, d), "id").crossJoin(F.broadcast(top))  # one row
-    kept = budget.grouped(rows, "file", [F.desc("rank"), "file", "line_start", "id"], budget.view_cost(), budget.tokens_of(F.octet_length("file")), DEFAULT_BUDGET)
+    kept = budget.grouped(rows, "file", [F.desc("rank"), "file", "line_start", "id"], budget.map_cost(), budget.map_header(), DEFAULT_BUDGET, budget.LEAST_MAP_COST)
     return kept.select("id", "file", F.round(F.col("rank") / F.col("top"), 4).alias("relative"))
 
 
@@ -286,13 +301,14 @@ _STOP = "(" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + ")"
 
 
 def _stem_sql(t: str) -> str:
-    cases = " ".join(f"WHEN {t} LIKE '%{s}' AND length({t}) > {len(s) + 2} THEN left({t}, length({t}) - {len(s)})" + (" || 'y'" if s in ("ies", "ied") else "") for s in text.SUFFIXES)
+    """The rule in SQL: a suffix goes if over two bytes stay, ies and ied become y; then all e's at the end of what has over three bytes."""
+    cases = " ".join(f"WHEN suffix({t}, '{s}') AND strlen({t}) > {len(s) + 2} THEN left({t}, length({t}) - {len(s)})" + (" || 'y'" if s in ("ies", "ied") else "") for s in text.SUFFIXES)
     c = f"(CASE {cases} ELSE {t} END)"
-    return f"(CASE WHEN length({c}) > 3 THEN left({c}, 3) || regexp_replace(substring({c}, 4), 'e+$', '') ELSE {c} END)"
+    return f"(CASE WHEN strlen({c}) > 3 THEN rtrim({c}, 'e') ELSE {c} END)"
 
 
 def _words_sql(x: str) -> str:
-    for pattern in ("([A-Z]+)([A-Z][a-z])", "([a-z])([A-Z])", r"(\p{L})([0-9])", r"([0-9])(\p{L})"):
+    for pattern in (r"(\p{Lu})(\p{Lu}\p{Ll})", r"(\p{Ll})(\p{Lu})", r"(\p{L})(\p{N})", r"(\p{N})(\p{L})"):
         x = f"regexp_replace({x}, '{pattern}', '\\1 \\2', 'g')"
     x = f"string_split(lower(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')"
     return f"list_filter({x}, lambda w: w <> '' AND (strlen(w) > 1 OR regexp_matches(w, '^[0-9]$')) AND w NOT IN {_STOP})"
@@ -310,9 +326,13 @@ def _doc_index(spark, d):
     return search.postings(p.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), {"text": 1.0})
 
 
+def _text_index(spark, d):
+    return search.TextIndex(p.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), {"text": 1.0})
+
+
 @query("stem_terms", f"SELECT DISTINCT t AS word, {_stem_sql('t')} AS term FROM (SELECT unnest({_words_sql('text')}) AS t FROM benchmark)")
 def _(spark, d):
-    return p.table(spark, d, "benchmark").select(F.explode(text.words(F.col("text"))).alias("word")).distinct().select("word", text.stem(F.col("word")).alias("term"))
+    return text.stemmed(p.table(spark, d, "benchmark").select(F.explode(text.words(F.col("text"))).alias("word")).distinct(), "word", "term")
 
 
 @query("term_df", f"WITH {_DOC_TERMS} SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY term")
@@ -322,9 +342,8 @@ def _(spark, d):
 
 @query("idf", f"WITH {_DOC_TERMS}, n AS (SELECT count(DISTINCT id) AS n FROM tf) SELECT term, round(ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5) + 1), 6) AS idf FROM tf, n GROUP BY term")
 def _(spark, d):
-    index = materialize(_doc_index(spark, d), "postings")
-    n = index.agg(F.countDistinct("id").alias("n"))  # one row
-    return search.document_frequency(index).crossJoin(F.broadcast(n)).select("term", F.round(search.idf(F.col("df"), F.col("n")), 6).alias("idf"))
+    index = _text_index(spark, d)
+    return search.document_frequency(index.postings).select("term", F.round(search.idf(F.col("df"), F.lit(index.n)), 6).alias("idf"))
 
 
 #: Query words that the invented English of the documents has, with one that has synonyms.
@@ -332,15 +351,14 @@ _QUERY = "with the thing find"
 
 
 def _bm25_sql(synonyms: bool) -> str:
-    syn = " UNION ALL SELECT unnest(['find', 'search', 'lookup']), 0.5, 0" if synonyms else ""
+    syn = " UNION ALL SELECT unnest(['search', 'find', 'query', 'lookup', 'match']), 0.5, 0" if synonyms else ""
     return f"""{_DOC_TERMS}, q0 AS (SELECT unnest({_words_sql(f"'{_QUERY}'")}) AS t, 1.0 AS qw, 1 AS o{syn}), q AS (SELECT {_stem_sql('t')} AS term, max(qw)::DOUBLE AS qw, max(o) AS o FROM q0 GROUP BY 1),
 l AS (SELECT id, sum(wtf) AS len FROM tf GROUP BY id), st AS (SELECT count(*) AS n, avg(len) AS al FROM l), f AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 h AS (SELECT id, sum(qw * ln((n - df + 0.5) / (df + 0.5) + 1) * wtf * 2.2 / (wtf + 1.2 * (0.25 + 0.75 * len / al))) * (1 + 0.5 * sum(o) / (SELECT sum(o) FROM q)) AS score FROM tf JOIN q USING (term) JOIN f USING (term) JOIN l USING (id), st GROUP BY id)"""
 
 
 def _hits(spark, d, synonyms):
-    index = materialize(_doc_index(spark, d), "postings")
-    return search.bm25(index, search.query_terms(spark, _QUERY, text.SYNONYMS if synonyms else [["-"]]))
+    return search.bm25(_text_index(spark, d), search.query_terms(spark, _QUERY, text.SYNONYMS if synonyms else [["-"]]))
 
 
 @query("bm25f_topk", f"WITH {_bm25_sql(False)} SELECT id, round(score, 4) AS score FROM h ORDER BY h.score DESC, id LIMIT 20")
@@ -359,19 +377,18 @@ y AS (SELECT *, 1.0::DOUBLE / (61 + lex) + 0.35::DOUBLE / (61 + cent) AS fused F
 
 def _fused(spark, d):
     central = p.table(spark, d, "documents").select(F.col("doc_id").alias("node"), F.col("n_chars").alias("rank"))
-    return search.fuse(_hits(spark, d, True).withColumn("score", F.round("score", 6)), central)
+    return search.fuse(_hits(spark, d, True), central)
 
 
-@query("rrf_find", f"WITH {_RRF} SELECT id, lex::INT AS lex, cent::INT AS cent, round(fused, 8) AS fused FROM y")
+@query("rrf_find", f"WITH {_RRF} SELECT id, lex::BIGINT AS lex, cent::BIGINT AS cent, round(fused, 8) AS fused FROM y")
 def _(spark, d):
     return _fused(spark, d).select("id", "lex", "cent", F.round("fused", 8).alias("fused"))
 
 
 @query("find_filtered", f"WITH {_RRF} SELECT id, round(fused / (SELECT max(fused) FROM y), 3) AS relative FROM y JOIN documents ON doc_id = id WHERE lower(lang) = 'en'")
 def _(spark, d):
-    docs = p.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("language"))
-    scaled = _fused(spark, d).withColumn("relative", F.round(F.col("fused") / F.max("fused").over(Window.partitionBy()), 3))
-    return search.apply_filters(scaled.join(docs, "id"), None, [("lang", "EN")]).select("id", "relative")
+    docs = p.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("language"), "n_chars")
+    return search.find(docs, None, _text_index(spark, d), docs.select(F.col("id").alias("node"), F.col("n_chars").alias("rank")), f"lang:EN {_QUERY}").select("id", "relative")
 
 
 # ---------------------------------------------------------------- budgets
@@ -431,9 +448,8 @@ def _(spark, d):
 
 @query("range_islands", "SELECT min(o_orderkey)::INT AS line_lo, max(o_orderkey)::INT AS line_hi FROM (SELECT o_orderkey, o_orderkey - row_number() OVER (ORDER BY o_orderkey) AS g FROM orders WHERE o_orderstatus = 'F') GROUP BY g")
 def _(spark, d):
-    """D2 over keys; files of 10,000 keys bound a task, and islands that touch over their edges are merged again."""
-    keys = p.table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.floor(F.col("o_orderkey") / 10000).alias("file"), F.col("o_orderkey").cast("int").alias("line_lo"), F.col("o_orderkey").cast("int").alias("line_hi"))
-    return impact.merge_ranges(impact.merge_ranges(keys).withColumn("file", F.lit("all"))).select("line_lo", "line_hi")
+    """D2 over keys."""
+    return impact.merge_points(p.table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("int").alias("line")))
 
 
 _SPANS = """e AS (SELECT user_id, floor(epoch(ts))::BIGINT AS t, event_id, event_type FROM events), {h}"""
@@ -468,17 +484,31 @@ def _(spark, d):
     return impact.changed_symbols(*_nested(spark, d))
 
 
-@query("impact_split", f"""WITH {_G}, root AS (SELECT p_partkey AS k FROM part WHERE p_size = 1 AND p_type = (SELECT min(p_type) FROM part)), r1 AS (SELECT DISTINCT src AS k FROM g WHERE dst IN (SELECT k FROM root) AND src NOT IN (SELECT k FROM root)),
-r2 AS (SELECT DISTINCT src AS k FROM g WHERE dst IN (SELECT k FROM r1) AND src NOT IN (SELECT k FROM root) AND src NOT IN (SELECT k FROM r1)), a AS (SELECT k, 1 AS depth FROM r1 UNION ALL SELECT k, 2 FROM r2)
-SELECT k::VARCHAR AS id, 0 AS section, 0 AS depth FROM root UNION ALL SELECT k::VARCHAR, CASE WHEN p_brand = (SELECT min(p_brand) FROM part) THEN 1 ELSE 2 END, depth FROM a JOIN part ON p_partkey = k""")
-def _(spark, d):
+_IMPACT = f"""{_G}, root AS (SELECT p_partkey AS k FROM part WHERE p_size = 1 AND p_type = (SELECT min(p_type) FROM part)), r1 AS (SELECT DISTINCT src AS k FROM g WHERE dst IN (SELECT k FROM root) AND src NOT IN (SELECT k FROM root)),
+r2 AS (SELECT DISTINCT src AS k FROM g WHERE dst IN (SELECT k FROM r1) AND src NOT IN (SELECT k FROM root) AND src NOT IN (SELECT k FROM r1)), a AS (SELECT k, 0 AS depth FROM root UNION ALL SELECT k, 1 FROM r1 UNION ALL SELECT k, 2 FROM r2),
+met AS (SELECT k, 0 AS section, 0 AS depth FROM root UNION ALL SELECT k, CASE WHEN p_brand = (SELECT min(p_brand) FROM part) THEN 1 ELSE 2 END, depth FROM a JOIN part ON p_partkey = k WHERE depth > 0 OR p_brand = (SELECT min(p_brand) FROM part))"""
+
+
+def _impact(spark, d):
     s = p.part_symbols(spark, d)
     low = s.agg(F.min("file").alias("f"), F.min("owner").alias("o")).first()
     s = s.withColumn("line_end", F.col("line_start")).withColumn("name", F.when(F.col("owner") == low["o"], "test_it").otherwise(F.col("name"))).withColumn("kind", F.lit("function"))
     ranges = spark.createDataFrame([(low["f"], 1, 1)], "file string, line_lo int, line_hi int")
     e = p.part_edges(spark, d).select(F.lit("calls").alias("kind"), F.col("src").alias("from_id"), F.col("dst").alias("to_id"))
-    changed = s.withColumn("byte_start", F.lit(0)).withColumn("byte_end", F.lit(1))
-    return impact.diff_impact(changed, e, ranges, max_depth=2)
+    s = s.withColumn("byte_start", F.lit(0)).withColumn("byte_end", F.lit(1))
+    return s, ranges, impact.diff_impact(s, e, ranges, max_depth=2)
+
+
+@query("impact_split", f"WITH {_IMPACT} SELECT k::VARCHAR AS id, section, depth FROM met")
+def _(spark, d):
+    return _impact(spark, d)[2]
+
+
+@query("impact_counts", f"""WITH {_IMPACT} SELECT 1::BIGINT AS files_changed, count(*) FILTER (WHERE section = 0)::BIGINT AS symbols_changed, count(*) FILTER (WHERE section = 2)::BIGINT AS symbols_impacted, count(*) FILTER (WHERE section = 1)::BIGINT AS tests_impacted,
+  count(DISTINCT p_type) FILTER (WHERE section = 2)::BIGINT AS files_impacted FROM met JOIN part ON p_partkey = k""")
+def _(spark, d):
+    s, ranges, met = _impact(spark, d)
+    return impact.impact_counts(met, s, ranges)
 
 
 _V = "old AS (SELECT o_orderkey AS k, md5(o_orderstatus) AS h FROM orders WHERE o_orderkey % 7 <> 0), new AS (SELECT o_orderkey AS k, md5(CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END) AS h FROM orders WHERE o_orderkey % 11 <> 0), st AS (SELECT coalesce(o.k, n.k)::VARCHAR AS path, CASE WHEN o.k IS NULL THEN 'added' WHEN n.k IS NULL THEN 'removed' WHEN o.h = n.h THEN 'unchanged' ELSE 'modified' END AS status FROM old o FULL JOIN new n ON o.k = n.k)"
@@ -519,9 +549,9 @@ def _(spark, d):
 c AS (SELECT source, count(*) FILTER (WHERE x = 'tp')::BIGINT AS tp, count(*) FILTER (WHERE x = 'fp')::BIGINT AS fp, count(*) FILTER (WHERE x = 'fn')::BIGINT AS fn, count(*) FILTER (WHERE x = 'tn')::BIGINT AS tn FROM o GROUP BY ROLLUP (source))
 SELECT source, tp, fp, fn, tn, round(coalesce(tp / nullif(tp + fp, 0), 1), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 1), 6) AS recall, round(coalesce((tp + tn) / nullif(tp + fp + fn + tn, 0), 1), 6) AS accuracy FROM c""")
 def _(spark, d):
-    rows = p.table(spark, d, "labels").join(p.table(spark, d, "documents").select("doc_id", "source"), "doc_id")
-    outcome = F.when((F.col("quality") == 1) & (F.col("toxic") == 1), "tp").when(F.col("toxic") == 1, "fp").when(F.col("quality") == 1, "fn").otherwise("tn")
-    return evaluation.confusion(rows.select("source", outcome.alias("outcome")), "source").select("source", "tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "accuracy")])
+    rows = p.table(spark, d, "labels").join(p.table(spark, d, "documents").select("doc_id", "source"), "doc_id").select("source", "quality", "toxic", F.col("doc_id").cast("string").alias("file"), F.lit(0).alias("line"), F.lit("x").alias("callee"))
+    outcomes = evaluation.outcomes(rows.withColumn("expected", F.when(F.col("quality") == 1, "t")), rows.where("toxic = 1").select("file", "line", "callee", F.lit("t").alias("target")))
+    return evaluation.confusion(outcomes, "source").select("source", "tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "accuracy")])
 
 
 @query("retrieval_mrr", "WITH r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, event_type FROM events), b AS (SELECT user_id, min(k) FILTER (WHERE event_type = 'purchase') AS k FROM r GROUP BY 1) SELECT round(avg(coalesce(1.0 / k, 0)), 6) AS mrr, round(avg(CASE WHEN k <= 1 THEN 1.0 ELSE 0 END), 6) AS r1, round(avg(CASE WHEN k <= 5 THEN 1.0 ELSE 0 END), 6) AS r5 FROM b")

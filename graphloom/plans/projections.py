@@ -22,8 +22,8 @@ def part_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps from an order's line to its next, among lines of 40 and more: (src, dst, order, line)."""
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 40")
+    """Steps from an order's line to its next: (src, dst, order, line)."""
+    lines = table(spark, sf_dir, "lineitem")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     steps = lines.select("l_orderkey", F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("s"), F.lead("l_partkey").over(order).alias("d"))
     return steps.where("d is not null and d <> s").select(F.col("s").cast("string").alias("src"), F.col("d").cast("string").alias("dst"), F.col("l_orderkey").alias("order"), "line")

@@ -7,7 +7,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -27,9 +28,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share.  A temporary one stands in only where driver and executors are one process."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -55,3 +58,16 @@ def materialize_observed(df: DataFrame, label: str, **sums: Column) -> tuple[Dat
     seen = Observation()
     stored = materialize(df.observe(seen, *[c.alias(name) for name, c in sums.items()]), label)
     return stored, seen.get
+
+
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """``rows`` with their 0-based place in a total order, as a long column ``name``.
+
+    Ranges of the order are sorted apart and stored; only their sizes, a row each, are summed up.
+    """
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    placed = materialize(placed, "numbered").withColumn("__part", F.shiftright("__at", 33))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    # As many rows as the sort has partitions.
+    return placed.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__part", "__start")

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .. import extract
 from ..functions import paths, text
-from ..operators import budget, evaluation, fresh, impact, rank, resolve, search, summary, targets, traverse
-from ..runtime import materialize
-from ..schemas import DEFAULT_BUDGET
+from ..graph import CodeGraph
+from ..operators import budget, evaluation, fresh, impact, imports, rank, resolve, search, summary, targets, traverse
+from ..runtime import materialize, shared_dir
+from ..schemas import DEFAULT_BUDGET, SYMBOLS
 from ..sources import files
+from ..sources.store import Store
 from ..streaming import watch
+from . import corpus
 from . import projections as p
 
 _Q: dict = {}
@@ -542,6 +548,142 @@ def _(spark, d):
     return fresh.patch(s, done, touched, mine.select(s.columns), theirs.select(done.columns))[1].select("edge_id", "to_id")
 
 
+# ---------------------------------------------------------------- sources, extraction, imports
+
+#: Every supplier's file and that of the next one, which it imports.
+_SUP = """s AS (SELECT s_suppkey AS k, s_nationkey AS n, (s_suppkey + 1) % (SELECT count(*) FROM supplier) AS k2 FROM supplier),
+f AS (SELECT s.k, s.k2, 'pkg' || s.n || '/sup' || s.k || '.py' AS file, 'pkg' || t.n || '/sup' || t.k || '.py' AS file2, t.n AS n2 FROM s JOIN s t ON t.k = s.k2)"""
+
+
+def _values(rows, names: str) -> str:
+    said = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(said, r)) + ")" for r in rows) + f") t({names})"
+
+
+@query("extract_symbols", f"""WITH {_SUP} SELECT file, name, kind, owner, lo::INT AS line_start, hi::INT AS line_end, doc FROM f, LATERAL (VALUES ('sup' || k, 'module', NULL, 1, 17, 'Supplier ' || k || '.'), ('Sup' || k, 'class', NULL, 5, 12, 'Orders of supplier ' || k || '.'),
+  ('total', 'method', 'Sup' || k, 8, 9, NULL), ('part', 'method', 'Sup' || k, 11, 12, NULL), ('run' || k, 'function', NULL, 15, 17, NULL)) v(name, kind, owner, lo, hi, doc)""")
+def _(spark, d):
+    """X4-X12, X20-X22, X24."""
+    symbols, _ = extract.extract(p.supplier_sources(spark, d))
+    return symbols.select("file", "name", "kind", "owner", "line_start", "line_end", "doc")
+
+
+@query("extract_sites", f"""WITH {_SUP} SELECT file, kind, name AS to_name, q AS qualifier, ln::INT AS line FROM f, LATERAL (VALUES ('imports', 'pkg' || n2 || '.sup' || k2, NULL, 2), ('calls', 'part', 'self', 9), ('calls', 'Sup' || k2, NULL, 16), ('calls', 'total', 'Sup' || k2, 17),
+  ('contains', 'Sup' || k, NULL, 5), ('contains', 'total', NULL, 8), ('contains', 'part', NULL, 11), ('contains', 'run' || k, NULL, 15)) v(kind, name, q, ln)""")
+def _(spark, d):
+    """Sites with their receivers, a variable's by the type it was made with."""
+    symbols, edges = extract.extract(p.supplier_sources(spark, d))
+    return edges.join(symbols.select(F.col("id").alias("from_id"), "file"), "from_id").select("file", "kind", "to_name", "qualifier", "line")
+
+
+@query("import_bindings", f"WITH {_SUP} SELECT file, file2 AS to_file, 0 AS alternatives FROM f")
+def _(spark, d):
+    """Dotted imports of modules."""
+    symbols, edges = extract.extract(p.supplier_sources(spark, d))
+    bound = imports.bind(edges, symbols).join(edges.select("edge_id", "from_id"), "edge_id")
+    ends = symbols.select(F.col("id"), "file")
+    return bound.join(ends.withColumnsRenamed({"id": "from_id"}), "from_id").join(ends.withColumnsRenamed({"id": "to_id", "file": "to_file"}), "to_id").select("file", "to_file", "alternatives")
+
+
+@query("source_graph", f"""WITH {_SUP} SELECT file, name AS to_name, ln::INT AS line, CASE WHEN own THEN file ELSE file2 END AS to_file, owner AS to_owner FROM f, LATERAL (VALUES ('part', 9, true, 'Sup' || k), ('Sup' || k2, 16, false, NULL), ('total', 17, false, 'Sup' || k2)) v(name, ln, own, owner)""")
+def _(spark, d):
+    """From texts to bound calls."""
+    g = CodeGraph.of_sources(p.supplier_sources(spark, d))
+    ends = g.symbols.select("id", "file", "owner")
+    bound = g.edges.where("kind = 'calls'").join(ends.select(F.col("id").alias("from_id"), "file"), "from_id").join(ends.select(F.col("id").alias("to_id"), F.col("file").alias("to_file"), F.col("owner").alias("to_owner")), "to_id")
+    return bound.select("file", "to_name", "line", "to_file", "to_owner")
+
+
+def _corpus(spark):
+    return spark.createDataFrame([(f, lang, t) for f, (lang, t) in corpus.SOURCES.items()], "path string, language string, content string").coalesce(1)
+
+
+@query("corpus_calls", _values([(*k, *(v.split("@") if v else (None, None))) for k, v in corpus.EXPECTED.items()], "file, line, callee, target, to_file"))
+def _(spark, d):
+    """M1's sites in ten languages: what calls of the small corpus bind to."""
+    g = CodeGraph.of_sources(_corpus(spark))
+    wanted = spark.createDataFrame(list(corpus.EXPECTED), "file string, line int, callee string")
+    sites = g.edges.where("kind = 'calls'").join(g.symbols.select(F.col("id").alias("from_id"), "file"), "from_id").select("file", "line", F.col("to_name").alias("callee"), "to_id")
+    ends = g.symbols.select(F.col("id").alias("to_id"), paths.qualified_name(F.col("owner"), F.col("name")).alias("target"), F.col("file").alias("to_file"))
+    return wanted.join(sites, ["file", "line", "callee"], "left").join(ends, "to_id", "left").select("file", "line", "callee", "target", "to_file")
+
+
+@query("corpus_imports", _values([(*k, v) for k, v in corpus.IMPORTS.items()], "file, import_text, to_file"))
+def _(spark, d):
+    """R9-R14 in eight languages."""
+    g = CodeGraph.of_sources(_corpus(spark))
+    wanted = spark.createDataFrame(list(corpus.IMPORTS), "from_file string, import_text string")
+    return traverse.dependencies(g.edges, g.symbols).join(wanted, ["from_file", "import_text"]).select(F.col("from_file").alias("file"), "import_text", "to_file")
+
+
+@query("generated_corpora", """SELECT 'python' AS language, 'f' || i || '_' || k AS name, 'f' || ((i + 1) % 40) || '_' || k AS calls FROM range(40) a(i), range(5) b(k)
+UNION ALL SELECT 'rust', 'f' || i || '_' || k, 'f' || ((i + j) % 40) || '_' || ((k + j) % 5) FROM range(40) a(i), range(5) b(k), range(1, 10) c(j)""")
+def _(spark, d):
+    """Both generated corpora and the calls found in them."""
+    both = files.generated(spark, 40, 5).unionByName(files.generated_dense(spark, 40, 5))
+    symbols, edges = extract.extract(both)
+    return edges.where("kind = 'calls'").join(symbols.select(F.col("id").alias("from_id"), "language", "name"), "from_id").select("language", "name", F.col("to_name").alias("calls"))
+
+
+@query("store_update", f"""WITH b AS (SELECT p_type AS file, count(*) AS n FROM part GROUP BY 1) SELECT file, (CASE WHEN file = (SELECT max(p_type) FROM part) THEN 1 ELSE n END)::BIGINT AS symbols FROM b WHERE file <> (SELECT min(p_type) FROM part)""")
+def _(spark, d):
+    """Write all files, then replace one and remove another; what the store then holds."""
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    s, e = p.part_symbols(spark, d), p.call_edges(spark, d)
+    listed = s.select(F.col("file").alias("path")).distinct().select("path", F.lit("part").alias("language"), F.md5("path").alias("content_hash"), F.lit(None).cast("timestamp").alias("mtime"), F.lit(0).cast("long").alias("size"))
+    columns = [c.split()[0] for c in SYMBOLS.split(", ")]
+    store.upsert({"files": listed, "symbols": s.select(columns), "edges": e})
+    ends = s.agg(F.min("file").alias("low"), F.max("file").alias("high")).first()
+    one = s.where(F.col("file") == ends["high"]).orderBy(F.col("id").cast("long")).limit(1)
+    new = {"files": listed.where(F.col("path") == ends["high"]), "symbols": one.select(columns), "edges": e.join(one.select(F.col("id").alias("from_id")), "from_id", "left_semi").select(e.columns)}
+    store.upsert(new, spark.createDataFrame([(ends["low"],)], "path string"))
+    held = store.read("symbols")
+    return store.read("files").join(held.withColumnRenamed("file", "path"), "path").groupBy(F.col("path").alias("file")).agg(F.count("*").alias("symbols"))
+
+
+@query("stat_delta", """WITH k AS (SELECT o_orderkey AS k, o_orderdate AS t FROM orders), st AS (SELECT k, CASE WHEN k % 7 = 0 THEN 'added' WHEN k % 11 = 0 THEN 'removed' WHEN t >= TIMESTAMP '1995-06-01' - INTERVAL 50 MILLISECONDS THEN 'modified' ELSE 'unchanged' END AS status FROM k WHERE NOT (k % 7 = 0 AND k % 11 = 0)) SELECT k::VARCHAR AS path, status FROM st""")
+def _(spark, d):
+    """What has changed by the files' status alone; orders as files, their dates as times of change."""
+    orders = p.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderkey").cast("string").alias("path"), F.col("o_orderdate").cast("timestamp").alias("mtime"))
+    return fresh.stat_delta(orders.where("k % 7 <> 0"), orders.where("k % 11 <> 0"), "1995-06-01")
+
+
+@query("needs_reading", """SELECT o_orderkey::VARCHAR AS path FROM orders WHERE o_orderkey % 7 = 0 OR o_orderdate >= TIMESTAMP '1995-06-01' - INTERVAL 50 MILLISECONDS""")
+def _(spark, d):
+    """Files that are unknown, or touched since the last run."""
+    orders = p.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderkey").cast("string").alias("path"), F.col("o_orderdate").cast("timestamp").alias("mtime"))
+    return fresh.needs_reading(orders.select("path", "mtime"), orders.where("k % 7 <> 0"), "1995-06-01").select("path")
+
+
+_PATHS = {"tests/a.rs": 1, "test/a.py": 1, "src/tests/a.rs": 1, "src/test/a.rs": 1, "web/__tests__/a.ts": 1, "spec/a.rb": 1, "lib/spec/a.rb": 1, "pkg/test_a.py": 1, "pkg/a_test.go": 1, "a_test.py": 1, "a_test.rs": 1, "web/a.test.ts": 1, "web/a.spec.js": 1, "a_spec.rb": 1, "a_test.rb": 1, "ATest.java": 1, "ATests.java": 1, "ATest.cs": 1, "ATests.cs": 1, "a_test.c": 1, "a_test.cc": 1, "a_test.cpp": 1, "a_unittest.cc": 1, "src/latest.rs": 0, "contest/a.py": 0, "attest.java": 0, "src/testing/a.rs": 0, "a_test.ts": 0, "specs/a.rb": 0, "a_tests.py": 0}
+
+
+@query("test_paths", _values(list(_PATHS.items()), "file, is_test"))
+def _(spark, d):
+    """Paths of tests, and paths that look like them."""
+    rows = spark.createDataFrame([(x,) for x in _PATHS], "file string")
+    return rows.select("file", impact.is_test_path(F.col("file")).cast("int").alias("is_test"))
+
+
+@query("budget_dependencies", f"""WITH {_N}, e AS (SELECT a.n_name AS from_file, dst::VARCHAR AS import_text FROM n JOIN nation a ON a.n_nationkey = src), u AS (SELECT *, sum((strlen(from_file) + strlen(import_text) + 32) // 4 + 1) OVER (ORDER BY from_file, import_text ROWS UNBOUNDED PRECEDING) AS used FROM e)
+SELECT from_file, import_text, used::BIGINT AS used FROM u WHERE used <= 300""")
+def _(spark, d):
+    """B4."""
+    nation = p.table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("src"), F.col("n_name").alias("from_file"))
+    e = p.nation_edges(spark, d).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("import_text")).join(nation, "src")
+    return budget.prefix(e, ["from_file", "import_text"], budget.dependency_cost("from_file", "import_text"), 300, 32 // 4 + 1).select("from_file", "import_text", "used")
+
+
+@query("watch_stream", "SELECT user_id::VARCHAR AS path, floor(epoch(max(ts)))::BIGINT AS at FROM events GROUP BY 1")
+def _(spark, d):
+    """Events as a file stream; every batch brings each path's last event into a table."""
+    folder = f"{shared_dir(spark)}/watch-{uuid.uuid4().hex}"
+    source = p.table(spark, d, "events")
+    stream = spark.readStream.schema(source.schema).parquet(f"{d}/events.parquet*").select(F.col("user_id").cast("string").alias("path"), F.col("ts").cast("timestamp").alias("ts"))
+    watch.watch(stream, lambda rows, number: rows.write.mode("overwrite").parquet(f"{folder}/table/batch={number}"), f"{folder}/state").awaitTermination()
+    return spark.read.schema("path string, ts timestamp").parquet(f"{folder}/table").groupBy("path").agg(F.unix_seconds(F.max("ts")).alias("at"))
+
+
 # ---------------------------------------------------------------- metrics
 
 

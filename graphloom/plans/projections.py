@@ -62,3 +62,15 @@ def sessions(spark: SparkSession, sf_dir: str, hours: int) -> DataFrame:
     new = F.coalesce((F.col("t") - F.lag("t").over(mine) > hours * 3600).cast("int"), F.lit(1))
     numbered = events.withColumn("new", new).withColumn("session", F.sum("new").over(mine.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy("user_id", "session").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("*").alias("events"))
+
+
+def supplier_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier as a Python file (path, language, content) that imports the next one's class and calls it."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n"))
+    total = rows.agg(F.count("*").alias("all"))  # one row
+    after = rows.crossJoin(F.broadcast(total)).select(F.pmod(F.col("k") - 1, F.col("all")).alias("k"), F.col("k").alias("k2"), F.col("n").alias("n2"))
+    lines = [
+        '"""Supplier %1$d."""', "from pkg%3$d.sup%2$d import Sup%2$d", "", "", "class Sup%1$d:", '    """Orders of supplier %1$d."""', "", "    def total(self, x):", "        return self.part(x)", "",
+        "    def part(self, x):", "        return x", "", "", "def run%1$d(x):", "    other = Sup%2$d()", "    return other.total(x)", "",
+    ]
+    return rows.join(after, "k").select(F.format_string("pkg%d/sup%d.py", "n", "k").alias("path"), F.lit("python").alias("language"), F.format_string("\n".join(lines), "k", "k2", "n2").alias("content"))

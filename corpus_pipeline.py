@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and works on everything its predecessor kept; ``run``
-writes each result as Parquet in the shared folder and reads it again.
+writes each result as Parquet in the shared folder, removes what the stage wrote on the way, and reads it again.
 """
 
 from __future__ import annotations
@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import common, language_gru, ngram_join, packing, quality_fm, source_mix
+from graphloom import runtime
+from graphloom.llm import language_gru, ngram_join, packing, quality_fm, source_mix
 
 #: A score from which a document stays, and the least language probability.
 MIN_QUALITY, MIN_LANGUAGE = 0.3, 0.4
@@ -75,8 +76,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = common.materialize(docs, f"stage-{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        docs = runtime.stored(spark, lambda: stage(spark, docs, sf_dir), f"stage-{k}")
+    return STAGES[-1][1](spark, docs, sf_dir)

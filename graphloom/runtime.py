@@ -5,12 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
+#: Paths of the tables made inside ``stored``.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def ship(spark: SparkSession) -> None:
@@ -46,9 +50,30 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """``materialize`` what ``make`` gives, then remove the tables that were written on the way to it.
+
+    Nothing that ``make`` leaves behind may be read later but the returned frame.
+    """
+    token = _made.set([])
+    try:
+        out = materialize(make(), label)
+        *spent, kept = _made.get()
+    finally:
+        _made.reset(token)
+    if (outer := _made.get()) is not None:
+        outer.append(kept)
+    for path in spent:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return out
+
+
 def materialize_observed(df: DataFrame, label: str, **sums: Column) -> tuple[DataFrame, dict]:
     """As ``materialize``, with one-row aggregates of what is written, taken during the write itself.
 

@@ -2,11 +2,12 @@
 
 The byte-level pre-tokenizer cuts a text into words that are encoded one by one, so the ids of a
 word don't depend on its neighbours.  ``Encoder`` cuts likewise and asks the library for each
-word it hasn't met lately.
+word it hasn't met lately.  A file with a normalizer or another pre-tokenizer has whole texts encoded by the library.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -32,7 +33,6 @@ def words_of(text: str) -> list[str]:
     return _LATIN_WORDS.findall(text)
 
 
-
 def tokenizer_path(path: str | None) -> str:
     if path:
         return path
@@ -41,6 +41,14 @@ def tokenizer_path(path: str | None) -> str:
     return public_tokenizers.path(FILE)
 
 
+def _cuts_words(tokenizer) -> bool:
+    """Whether a tokenizer cuts texts as ``words_of`` does, and encodes what it cuts apart from the rest."""
+    if tokenizer.normalizer is not None or tokenizer.pre_tokenizer is None:
+        return False
+    cut = json.loads(tokenizer.pre_tokenizer.__getstate__())
+    return cut["type"] == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"]
+
+
 class Encoder:
     """Ids of texts as arrays of ``dtype``; at most ``memo`` words are remembered."""
 
@@ -49,6 +57,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(path))
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.by_word = _cuts_words(self.tokenizer)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         self.code = "H" if self.dtype == "<u2" else "I"
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -61,7 +72,7 @@ class Encoder:
         """Ids of each text (a null is empty)."""
         cut, new = [], set()
         for text in texts:
-            if text and any(s in text for s in self.specials):
+            if text and (not self.by_word or any(s in text for s in self.specials)):
                 cut.append(text)  # marks inside a text are the library's business
                 continue
             words = words_of(text) if text else []

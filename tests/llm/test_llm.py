@@ -535,6 +535,18 @@ def test_encoder_equals_the_library(library):
         assert all(g.tolist() == library.encode(t or "", add_special_tokens=False).ids for g, t in zip(got, texts))
 
 
+def test_encoder_of_another_kind_equals_the_library():
+    """A file with a normalizer and another pre-tokenizer."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, other = tokens.Encoder(path), Tokenizer.from_file(path)
+    assert not encoder.by_word and tokens.Encoder().by_word
+    texts = [*STRANGE, "It's   a LONG\n\nline, isn't it?"]
+    assert [g.tolist() for g in encoder.batch(texts)] == [other.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_token_segments_round_trip(spark, library, tmp_path):
     rows = [(100 - i, t, 1) for i, t in enumerate(STRANGE)] + [(None, "n", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, part int").repartition(3)

@@ -13,6 +13,7 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow.compute as pc
 import regex
 
 FILE = "byte_bpe_50k.json"
@@ -52,7 +53,7 @@ def _cuts_words(tokenizer) -> bool:
 class Encoder:
     """Ids of texts as arrays of ``dtype``; at most ``memo`` words are remembered."""
 
-    def __init__(self, path: str | None = None, memo: int = 1_000_000):
+    def __init__(self, path: str | None = None, memo: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -102,14 +103,12 @@ def encoder(path: str | None = None) -> Encoder:
 
 
 def batches(frames, column: int, target: int = 1 << 20):
-    """(frame, first row, texts) in runs of about ``target`` characters."""
+    """(frame, first row, texts) in runs of whole texts, of about ``target`` bytes."""
     for frame in frames:
-        texts, first, size = [], 0, 0
-        for i, text in enumerate(frame.column(column).to_pylist()):
-            texts.append(text)
-            size += len(text or "")
-            if size >= target:
-                yield frame, first, texts
-                texts, first, size = [], i + 1, 0
-        if texts:
-            yield frame, first, texts
+        texts, first = frame.column(column), 0
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        while first < len(texts):
+            before = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + target, "right")))
+            yield frame, first, texts.slice(first, last - first).to_pylist()
+            first = last

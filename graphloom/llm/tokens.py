@@ -69,6 +69,29 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _learn(self, words: list[str]) -> None:
+        """Remember the ids of words.
+
+        Words of a blank and letters are encoded end to end, since the pre-tokenizer parts them again; a run that it
+        parts otherwise, and all other words, are encoded one by one.
+        """
+        plain = [w for w in words if w[0] == " " and w[1:].isalpha()]
+        single = [w for w in words if not (w[0] == " " and w[1:].isalpha())]
+        for a in range(0, len(plain), 4096):
+            some = plain[a : a + 4096]
+            found = self.tokenizer.encode("".join(some), add_special_tokens=False)
+            ids, place = np.array(found.ids, self.dtype), np.array(found.word_ids)
+            cuts = [0, *((np.flatnonzero(place[1:] != place[:-1]) + 1) * ids.itemsize).tolist(), ids.nbytes]
+            if len(cuts) == len(some) + 1:
+                data = ids.tobytes()
+                self.memo.update(zip(some, map(data.__getitem__, map(slice, cuts, cuts[1:]))))
+            else:
+                single += some
+        for a in range(0, len(single), 4096):
+            some = single[a : a + 4096]
+            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.memo[word] = array(self.code, found.ids).tobytes()
+
     def batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text (a null is empty)."""
         cut, new = [], set()
@@ -80,10 +103,7 @@ class Encoder:
             new.update(words)
             cut.append(words)
         new = [w for w in new if w not in self.memo]
-        for a in range(0, len(new), 4096):
-            some = new[a : a + 4096]
-            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.memo[word] = array(self.code, found.ids).tobytes()
+        self._learn(new)
         known = self.memo.__getitem__
         out = [np.frombuffer(self._whole(w) if isinstance(w, str) else b"".join(map(known, w)), self.dtype) for w in cut]
         if len(self.memo) > self.most:  # frequent words came early; what is new now is forgotten again

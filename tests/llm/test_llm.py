@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -535,6 +536,57 @@ def test_encoder_equals_the_library(library):
         assert all(g.tolist() == library.encode(t or "", add_special_tokens=False).ids for g, t in zip(got, texts))
 
 
+def test_encoder_cuts_texts_of_all_scripts_as_the_library(library):
+    """Endings, blanks of all sizes, ends of texts, zero bytes, long words; what a text ends with doesn't touch the next."""
+    rng = random.Random(2)
+    signs = [*" \n\t''.!a1sdLl\x00\x1c\x85\xa0é½ß\u0301\u0378\u1680\u2028\u3000日٠Ⅷ😀𝒳", "'re", "'s", " it's", "<|", "<|endoftext|>", "щука", "x" * 70]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(30))) for _ in range(3000)] + ["'", "s", "x'", "re", " ", "a", "\u3000", None, "b\0", "b", "b\0\0"]
+    for memo in (10**6, 50):
+        encoder = tokens.Encoder(memo=memo)
+        got = [ids for a in range(0, len(texts), 700) for ids in encoder.batch(texts[a : a + 700])]
+        assert [g.tolist() for g in got] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_encoder_asks_for_a_word_once():
+    """300,000 words of a vocabulary are remembered; the library isn't asked for any of them again."""
+
+    class Counting:
+        def __init__(self, of):
+            self.of, self.signs = of, 0
+
+        def __getattr__(self, name):
+            def call(texts, **options):
+                self.signs += len(texts) if isinstance(texts, str) else sum(map(len, texts))
+                return getattr(self.of, name)(texts, **options)
+
+            return call
+
+    encoder, letters = tokens.Encoder(), "abcdefghijklmnopqrstuvwxyz"
+    text = "".join(f" {''.join(letters[i // 26**k % 26] for k in range(4))}" for i in range(300_000))
+    encoder.tokenizer = counting = Counting(encoder.tokenizer)
+    (first,) = encoder.batch([text])
+    assert counting.signs >= len(text)
+    counting.signs = 0
+    (again,) = encoder.batch([text])
+    assert counting.signs == 0 and again.tolist() == first.tolist()
+
+
+def test_known_words_cost_a_tenth_of_the_library(library):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdeilnorstu") for _ in range(rng.randrange(2, 9))) for _ in range(20_000)]
+    texts = [" ".join(rng.choice(words) for _ in range(400)) for _ in range(400)]
+    encoder = tokens.Encoder()
+    encoder.batch(texts)
+
+    def seconds(work):
+        began = time.thread_time()
+        work()
+        return time.thread_time() - began
+
+    whole = min(seconds(lambda: [library.encode(t, add_special_tokens=False) for t in texts]) for _ in range(3))
+    assert min(seconds(lambda: encoder.batch(texts)) for _ in range(5)) < whole / 10
+
+
 def test_encoder_of_another_kind_equals_the_library():
     """A file with a normalizer and another pre-tokenizer."""
     import public_tokenizers
